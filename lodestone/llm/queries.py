@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, packing, sstable, token_counts, tokens
+from lodestone.llm import chat, licenses, packing, sstable, syncmers, token_counts, tokens
 
 #: The vocabularies that the queries name, and the id that ends a document.
 BYTE_VOCABULARY, WORD_VOCABULARY, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -43,11 +43,48 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def _op2_sql() -> str:
+    """Brute force: every line against every notice."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = f"regexp_extract_all({low}, '{word}')"
+    notices = ", ".join(f"('{label}', {licenses.notice_words(text)!r})" for label, text in licenses.NOTICES)
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, i AS pos FROM w, unnest(range(len(ws))) r(i) WHERE "
+        + " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+        for phrase, label in licenses.PHRASES
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, {split.format("text")} AS ws FROM d),
+b AS ({phrases}),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS ls FROM b GROUP BY doc_id),
+n(label, ns) AS (VALUES {notices}),
+l AS (SELECT doc_id, {split.format("line")} AS ls FROM d, unnest(string_split(text, chr(10))) u(line)),
+h AS (SELECT doc_id, label, len(list_intersect(ns, ls)) / len(ns) AS share FROM l, n
+      WHERE len(list_intersect(ns, ls)) >= ceil({licenses.THRESHOLD} * len(ns) - 1e-9)),
+m AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS best FROM h GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word,
+  coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(m.ls, [])))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.best, 0.0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sstable.sstable(_table(spark, sf_dir, "documents"), tokens.default_path(BYTE_VOCABULARY), END_ID)
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokens.default_path(WORD_VOCABULARY))
 
@@ -58,8 +95,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_license_scan": op2_license_scan,
     "op3_sstable": op3_sstable,
+    "op4_syncmers": op4_syncmers,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_license_scan": _op2_sql()}
