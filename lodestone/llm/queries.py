@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, licenses, packing, sstable, syncmers, token_counts, tokens
+from lodestone.llm import chat, decontamination, licenses, packing, sstable, syncmers, token_counts, tokens
 
 #: The vocabularies that the queries name, and the id that ends a document.
 BYTE_VOCABULARY, WORD_VOCABULARY, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -93,6 +93,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path(WORD_VOCABULARY), END_ID, with_ids=False)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -100,5 +104,6 @@ QUERIES = {
     "op4_syncmers": op4_syncmers,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_license_scan": _op2_sql()}
