@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, licenses, packing, sstable, syncmers, token_counts, tokens
+from lodestone.llm import chat, decontamination, licenses, packing, sstable, syncmers, token_counts, tokens, toxicity
 
 #: The vocabularies that the queries name, and the id that ends a document.
 BYTE_VOCABULARY, WORD_VOCABULARY, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -89,6 +89,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokens.default_path(WORD_VOCABULARY))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokens.default_path(WORD_VOCABULARY), END_ID, with_ids=False)
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op3_sstable": op3_sstable,
     "op4_syncmers": op4_syncmers,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
