@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontamination, licenses, near_dedup, packing, sstable, syncmers, token_counts, tokens, toxicity
+from lodestone.llm import chat, decontamination, licenses, near_dedup, packing, sstable, suffix_dedup, syncmers, token_counts, tokens, toxicity
 
 #: The vocabularies that the queries name, and the id that ends a document.
 BYTE_VOCABULARY, WORD_VOCABULARY, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 2
@@ -89,6 +89,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokens.default_path(WORD_VOCABULARY))
 
@@ -111,6 +115,7 @@ QUERIES = {
     "op3_sstable": op3_sstable,
     "op4_syncmers": op4_syncmers,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
