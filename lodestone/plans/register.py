@@ -1,6 +1,588 @@
-"""Queries over the driver's tables, and SQL with the same results."""
+"""Queries over the driver's tables, and SQL with the same results.
+
+Roles: ``documents`` are paragraphs, the first eight words of a ``benchmark``
+item are a question, the documents that hold the whole item its gold;
+``embeddings`` are vectors, of which those below 20 ask; ``events`` are the
+experiment log with a user as a run.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import corpus, evaluation, events, evidence, retrieval
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- roles -----------------------------------------------------------------------------------
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.slice(F.split("text", " "), 1, 8)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(words, " ").alias("text"))
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item: the items are the stated query set, and no text moves."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("item"))
+    return paragraphs(spark, sf_dir).join(F.broadcast(items), F.contains("text", "item")).select("question_id", "chunk_id")
+
+
+def asking(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+def bm25_hits(spark, sf_dir, k=retrieval.DEPTH):
+    return retrieval.bm25(paragraphs(spark, sf_dir), questions(spark, sf_dir), k)
+
+
+def dense_hits(spark, sf_dir, k=retrieval.DEPTH, n=40):
+    return retrieval.dense(vectors(spark, sf_dir), asking(spark, sf_dir, n), k)
+
+
+WORDS = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
+CTE = f"""
+q AS (SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark),
+d AS (SELECT doc_id AS chunk_id, {WORDS.format("text")} AS ts FROM documents),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM d),
+p AS (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS token FROM d),
+tf AS (SELECT token, chunk_id, dl, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+qt AS (SELECT question_id, token, count(*) AS times FROM (SELECT question_id, unnest({WORDS.format("text")}) AS token FROM q) GROUP BY ALL),
+bm AS (SELECT question_id, chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM qt JOIN tf USING (token) JOIN df USING (token), st GROUP BY question_id, chunk_id),
+bmr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM bm),
+ds AS (SELECT a.vec_id AS question_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+       FROM embeddings a, embeddings b WHERE a.vec_id < 40),
+dsr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM ds),
+g AS (SELECT b.item_id AS question_id, d.doc_id AS chunk_id FROM documents d, benchmark b WHERE contains(d.text, b.text)),
+top10 AS (SELECT * FROM bmr WHERE rank <= 10),
+rel AS (SELECT g.question_id, t.rank FROM g JOIN top10 t USING (question_id, chunk_id)),
+want AS (SELECT question_id, count(*) AS n FROM g GROUP BY question_id),
+met AS (SELECT w.question_id, round(count(r.rank) / w.n, 6) AS recall, round(coalesce(1 / min(r.rank), 0), 6) AS mrr,
+  round(coalesce(sum(1 / log2(r.rank + 1)), 0) / list_sum(list_transform(range(1, least(w.n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg,
+  round(1 - count(r.rank) / w.n, 6) AS missing_rate, CASE WHEN count(r.rank) < w.n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS any_missing,
+  CASE WHEN w.n = 2 THEN CASE WHEN count(r.rank) = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS both_found,
+  CASE WHEN min(r.rank) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS top1
+  FROM want w LEFT JOIN rel r USING (question_id) GROUP BY w.question_id, w.n)
+"""
+
+
+def cte(body: str) -> str:
+    return f"WITH {CTE} {body}"
+
+
+# --- retrieval -------------------------------------------------------------------------------
+
+
+@query(cte("SELECT question_id, chunk_id, score, rank FROM top10"))
+def bm25_topk(spark, sf_dir):
+    return bm25_hits(spark, sf_dir, 10)
+
+
+@query(cte("SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM tf GROUP BY token"))
+def bm25_postings_stats(spark, sf_dir):
+    rows = retrieval.postings(paragraphs(spark, sf_dir))
+    return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+
+
+@query(cte("SELECT n, round(avgdl, 6) AS avgdl FROM st"))
+def corpus_stats(spark, sf_dir):
+    return retrieval.document_tokens(paragraphs(spark, sf_dir)).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+
+
+@query(cte("SELECT question_id, chunk_id, score, rank FROM dsr WHERE rank <= 10 AND question_id < 20"))
+def dense_topk(spark, sf_dir):
+    return dense_hits(spark, sf_dir, 10, 20)
+
+
+FUSED = """
+, st2 AS (SELECT question_id, chunk_id, {w1} / (60 + rank) AS part, rank FROM bmr WHERE rank <= 100
+  UNION ALL SELECT question_id, chunk_id, {w2} / (60 + rank), rank FROM dsr WHERE rank <= 100),
+fu AS (SELECT question_id, chunk_id, round(sum(part), 6) AS score, min(rank) AS best_rank FROM st2 GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, best_rank, chunk_id) AS rank FROM fu)
+"""
+
+
+@query(cte(FUSED.format(w1="1.0::DOUBLE", w2="1.0::DOUBLE") + "SELECT question_id, chunk_id, score, best_rank, rank FROM fr WHERE rank <= 10"))
+def rrf_fusion(spark, sf_dir):
+    hits = {"bm25": bm25_hits(spark, sf_dir), "dense": dense_hits(spark, sf_dir)}
+    return retrieval.fuse(hits).select("question_id", "chunk_id", "score", "best_rank", "rank")
+
+
+@query(
+    cte(
+        FUSED.format(w1="0.3::DOUBLE", w2="0.7::DOUBLE")
+        + """SELECT fr.question_id, fr.chunk_id, fr.score, fr.rank, b.rank AS bm25_rank, d.rank AS dense_rank, s.source
+        FROM fr JOIN (SELECT doc_id AS chunk_id, source FROM documents) s USING (chunk_id)
+        LEFT JOIN (SELECT * FROM bmr WHERE rank <= 100) b USING (question_id, chunk_id)
+        LEFT JOIN (SELECT * FROM dsr WHERE rank <= 100) d USING (question_id, chunk_id) WHERE fr.rank <= 10"""
+    )
+)
+def hybrid_retrieve(spark, sf_dir):
+    hits = {"bm25": bm25_hits(spark, sf_dir), "dense": dense_hits(spark, sf_dir)}
+    fused = retrieval.fuse(hits, weights=retrieval.WEIGHTS)
+    found = fused.join(paragraphs(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
+    return found.select("question_id", "chunk_id", "score", "rank", F.col("source_ranks")["bm25"].alias("bm25_rank"), F.col("source_ranks")["dense"].alias("dense_rank"), "source")
+
+
+@query(cte("SELECT 'bm25' AS branch, question_id, chunk_id, rank FROM bmr WHERE rank <= 5 UNION ALL SELECT 'dense', question_id, chunk_id, rank FROM dsr WHERE rank <= 5"))
+def single_branch_ablation(spark, sf_dir):
+    one = lambda name, hits: hits.select(F.lit(name).alias("branch"), "question_id", "chunk_id", "rank")
+    return one("bm25", bm25_hits(spark, sf_dir, 5)).unionByName(one("dense", dense_hits(spark, sf_dir, 5)))
+
+
+@query(
+    cte("""SELECT question_id, chunk_id, min(hop) AS first_seen_hop, arg_min(score, hop) AS score, count(*) AS n_occurrences,
+    row_number() OVER (PARTITION BY question_id ORDER BY min(hop), arg_min(rank, hop), chunk_id) AS merged_rank FROM (
+    SELECT question_id, chunk_id, score, rank, 1 AS hop FROM bmr WHERE rank <= 10 UNION ALL SELECT question_id, chunk_id, score, rank, 2 FROM dsr WHERE rank <= 10)
+    GROUP BY question_id, chunk_id""")
+)
+def hop_merge(spark, sf_dir):
+    merged = retrieval.merge_hops(bm25_hits(spark, sf_dir, 10), dense_hits(spark, sf_dir, 10))
+    return merged.select("question_id", "chunk_id", "first_seen_hop", "score", F.size("occurrences").cast("bigint").alias("n_occurrences"), "merged_rank")
+
+
+@query(cte("SELECT question_id, 0::BIGINT AS n FROM q WHERE false"))
+def ranking_violations(spark, sf_dir):
+    return retrieval.violations(bm25_hits(spark, sf_dir, 10), 10).select("question_id", "n")
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+
+def question_metrics(spark, sf_dir):
+    return evaluation.ranking_metrics(bm25_hits(spark, sf_dir, 10), gold(spark, sf_dir), 10)
+
+
+@query(cte("SELECT * FROM met"))
+def retrieval_metrics(spark, sf_dir):
+    return question_metrics(spark, sf_dir)
+
+
+@query(
+    cte(
+        "SELECT metric, round(avg(value), 6) AS mean, count(value) AS denominator FROM ("
+        + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value FROM met" for m in evaluation.METRICS)
+        + ") GROUP BY metric"
+    )
+)
+def macro_metrics(spark, sf_dir):
+    return evaluation.macro_means(question_metrics(spark, sf_dir))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, count(*) AS n FROM lineitem GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return evaluation.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+
+
+@query(cte("SELECT question_id, chunk_id FROM g WHERE (question_id, chunk_id) NOT IN (SELECT question_id, chunk_id FROM top10)"))
+def missing_gold_antijoin(spark, sf_dir):
+    return evaluation.missing(bm25_hits(spark, sf_dir, 10), gold(spark, sf_dir), 10)
+
+
+@query(cte("SELECT question_id, chunk_id FROM g WHERE (question_id, chunk_id) IN (SELECT question_id, chunk_id FROM top10)"))
+def gold_semi_join(spark, sf_dir):
+    return gold(spark, sf_dir).join(bm25_hits(spark, sf_dir, 10), ["question_id", "chunk_id"], "left_semi")
+
+
+@query("SELECT doc_id, toxic FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def link_validation(spark, sf_dir):
+    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return corpus.unresolved(table(spark, sf_dir, "labels"), english, ["doc_id"]).select("doc_id", "toxic")
+
+
+@query(
+    """WITH a AS (SELECT o_custkey, o_orderpriority, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY ALL)
+    SELECT a.o_custkey, round(a.v, 2) AS before, round(b.v, 2) AS after, round(round(b.v, 2) - round(a.v, 2), 6) AS delta,
+    CASE WHEN round(round(b.v, 2) - round(a.v, 2), 6) > 0 THEN 'improved' WHEN round(round(b.v, 2) - round(a.v, 2), 6) < 0 THEN 'regressed' ELSE 'unchanged' END AS change
+    FROM a JOIN a b USING (o_custkey) WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '5-LOW'"""
+)
+def paired_compare(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    runs = orders.groupBy("o_custkey", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    pick = lambda p: runs.filter(F.col("o_orderpriority") == p)
+    return evaluation.compare(pick("1-URGENT"), pick("5-LOW"), "o_custkey", "v")
+
+
+RUN_SQL = """r AS (SELECT o_orderpriority AS run_id, avg(o_totalprice) AS mean_price, count(*)::DOUBLE AS n_orders FROM orders GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {RUN_SQL} SELECT 'mean_price' AS metric, round(max(mean_price) FILTER (run_id = '1-URGENT'), 6) AS baseline, round(max(mean_price) FILTER (run_id = '2-HIGH'), 6) AS candidate,
+    round(max(mean_price) FILTER (run_id = '2-HIGH') - max(mean_price) FILTER (run_id = '1-URGENT'), 6) AS delta FROM r
+    UNION ALL SELECT 'n_orders', max(n_orders) FILTER (run_id = '1-URGENT'), max(n_orders) FILTER (run_id = '2-HIGH'), max(n_orders) FILTER (run_id = '2-HIGH') - max(n_orders) FILTER (run_id = '1-URGENT') FROM r"""
+)
+def metric_delta(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.avg("o_totalprice").alias("mean_price"), F.count("*").cast("double").alias("n_orders"))
+    return evaluation.metric_deltas(runs, "1-URGENT", "2-HIGH", ["mean_price", "n_orders"])
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS w, l_returnflag FROM s GROUP BY ALL)
+    SELECT a.l_linenumber, round(avg((a.w - b.w) * 100.0 / a.w), 6) AS reduction_pct, count(*) AS pairs FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
+    WHERE a.l_returnflag = 'N' AND b.l_returnflag = 'R' GROUP BY 1"""
+)
+def context_reduction(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.sum("l_quantity").alias("w"))
+    return evaluation.context_reduction(rows, ["l_orderkey", "l_linenumber"], "l_returnflag", "N", "R", "w")
+
+
+@query(
+    """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR (o_orderdate = TIMESTAMP '1997-01-01' AND o_orderkey > 100)
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 51"""
+)
+def keyset_page(spark, sf_dir):
+    import datetime
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return evaluation.keyset_page(rows, "o_orderdate", "o_orderkey", (datetime.datetime(1997, 1, 1), 100), 50)
+
+
+ANSWER = r"trim(regexp_replace(regexp_replace(translate(lower({}), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, {ANSWER.format("p_name")} AS a, {ANSWER.format("p_type || ' ' || p_name")} AS g FROM part),
+    w AS (SELECT p_partkey, list_filter(string_split(a, ' '), lambda x: x <> '') AS a, list_filter(string_split(g, ' '), lambda x: x <> '') AS g, (a = g)::INT AS exact FROM r),
+    c AS (SELECT p_partkey, sum(least(x, y)) AS common FROM (SELECT p_partkey, t, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y FROM
+      (SELECT p_partkey, unnest(a) AS t, 0 AS s FROM w UNION ALL SELECT p_partkey, unnest(g), 1 FROM w) GROUP BY ALL) GROUP BY 1)
+    SELECT p_partkey, exact, round(CASE WHEN coalesce(common, 0) = 0 THEN 0 ELSE 2 * (common / len(a)) * (common / len(g)) / (common / len(a) + common / len(g)) END, 6)::DOUBLE AS f1
+    FROM w LEFT JOIN c USING (p_partkey)"""
+)
+def answer_f1(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("answer"), F.concat_ws(" ", "p_type", "p_name").alias("gold"))
+    return evaluation.token_f1(rows, "p_partkey", "answer", "gold")
+
+
+# --- corpus ----------------------------------------------------------------------------------
+
+DIGEST = "sha256(unhex({}))"
+PART = "printf('%016x', octet_length(encode({0}))) || hex({0})"
+CHUNK = (
+    "s AS (SELECT doc_id, source, list_concat([source], string_split(text, chr(10))) AS parts FROM documents), "
+    "h AS (SELECT doc_id, source, len(parts) - 1 AS n_sentences, 'chunk:' || sha256(unhex(array_to_string(list_transform(parts, lambda x: printf('%016x', octet_length(encode(x))) || hex(x)), ''))) AS chunk_id FROM s)"
+)
+
+
+def chunked(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return corpus.chunks(docs, F.col("source"), F.split("text", "\n")).withColumn("source_id", F.col("doc_id"))
+
+
+@query(f"WITH {CHUNK} SELECT doc_id, chunk_id, n_sentences FROM h")
+def chunk_ids(spark, sf_dir):
+    return chunked(spark, sf_dir).select("doc_id", "chunk_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_sentences"))
+
+
+@query(f"WITH {CHUNK} SELECT chunk_id, count(*) AS copies, min(doc_id) AS first_source FROM h GROUP BY 1")
+def corpus_dedup(spark, sf_dir):
+    return corpus.dedup(chunked(spark, sf_dir))
+
+
+@query(
+    f"SELECT doc_id, sha256(unhex({PART.format(repr('frozen-v1'))} || {PART.format('doc_id::VARCHAR')})) AS digest, "
+    f"row_number() OVER (ORDER BY sha256(unhex({PART.format(repr('frozen-v1'))} || {PART.format('doc_id::VARCHAR')})), doc_id) AS position FROM documents WHERE lang = 'en' QUALIFY position <= 100"
+)
+def hash_rank_sample(spark, sf_dir):
+    eligible = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id")
+    return corpus.hash_rank(eligible, "frozen-v1", "doc_id", 100)
+
+
+@query("SELECT doc_id, i - 1 AS sentence_index, s[i] AS sentence, CAST(coalesce(list_sum(list_transform(s[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) r(i)")
+def running_offsets(spark, sf_dir):
+    """Sentences with where they start: a running sum inside each row, so no shuffle."""
+    docs = table(spark, sf_dir, "documents").withColumn("s", F.split("text", "\n"))
+    starts = F.aggregate("s", F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
+    rows = docs.withColumn("a", starts).select("doc_id", "a", F.posexplode("s").alias("sentence_index", "sentence"))
+    return rows.select("doc_id", F.col("sentence_index").cast("bigint").alias("sentence_index"), "sentence", F.get("a", F.col("sentence_index")).alias("start"))
+
+
+@query("SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+def lag_context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+
+
+NORM = {
+    "entity": r"trim(regexp_replace(regexp_replace(lower(replace(lower(p_name), 'ß', 'ss')), '[^\p{L}\p{N}]+', ' ', 'g'), '\s+', ' ', 'g'))",
+    "ascii": r"trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))",
+    "graph": r"coalesce(nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(p_name), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown')",
+    "anchor": r"array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ')",
+    "answer": ANSWER.format("p_name"),
+}
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{e} AS {n}_key" for n, e in NORM.items()) + ", CAST(ceil(length(p_name) / 4) AS BIGINT) AS estimated_tokens FROM part")
+def normalizers(spark, sf_dir):
+    name = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", T.entity_key(name).alias("entity_key"), T.ascii_key(name).alias("ascii_key"), T.graph_key(name).alias("graph_key"), T.anchor_key(name).alias("anchor_key"), T.answer_key(name).alias("answer_key"), T.estimated_tokens(name).alias("estimated_tokens"))
+
+
+# --- evidence --------------------------------------------------------------------------------
+# Units are the lines of gold documents; names are words of five letters or more with a capital.
+
+UNITS = r"""
+names AS (SELECT item_id AS question_id, lower(text) AS normalized_question, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS seeds, ['member', 'located'] AS required FROM benchmark),
+gd AS (SELECT b.item_id AS question_id, d.doc_id, d.source, string_split(d.text, chr(10)) AS s FROM documents d, benchmark b WHERE contains(d.text, b.text)),
+units AS (SELECT question_id, doc_id::VARCHAR AS chunk_id, source AS doc_title, i - 1 AS sentence_id, doc_id::VARCHAR || '::s' || (i - 1) AS evidence_unit_id, s[i] AS sentence_text,
+  list_distinct(regexp_extract_all(s[i], '[A-Z][a-z]{4,}')) AS entities,
+  list_concat(CASE WHEN contains(s[i], ' of ') THEN ['member'] ELSE [] END, CASE WHEN contains(s[i], ' in ') THEN ['located'] ELSE [] END) AS relation_hints,
+  CASE WHEN regexp_matches(s[i], '[0-9]') THEN ['NUMBER', 'ENTITY'] ELSE ['ENTITY'] END AS answer_types, (doc_id % 10 + 1)::INT AS retrieval_rank
+  FROM gd, unnest(range(1, len(s) + 1)) r(i)),
+"""
+
+
+def unit_questions(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("question_id"), F.lower("text").alias("normalized_question"), F.lit("FACTOID").alias("question_type"), F.lit("ENTITY").alias("expected_answer_type"), _names("text").alias("seeds"), F.array(F.lit("member"), F.lit("located")).alias("required"))
+
+
+def _names(column: str):
+    return F.array_distinct(F.regexp_extract_all(column, F.lit("([A-Z][a-z]{4,})"), F.lit(1)))
+
+
+def units(spark, sf_dir):
+    docs = gold(spark, sf_dir).join(paragraphs(spark, sf_dir), "chunk_id").select("question_id", F.col("chunk_id").alias("doc"), F.col("source").alias("doc_title"), F.posexplode(F.split("text", "\n")).alias("sentence_id", "sentence_text"))
+    has = lambda word, name: F.when(F.contains("sentence_text", F.lit(f" {word} ")), F.lit(name))
+    return docs.select(
+        "question_id", F.concat(F.col("doc").cast("string"), F.lit("::s"), F.col("sentence_id").cast("string")).alias("evidence_unit_id"), F.col("doc").cast("string").alias("chunk_id"), "doc_title", "sentence_id", "sentence_text",
+        F.col("sentence_text").alias("resolved_text"), _names("sentence_text").alias("entities"), F.array_compact(F.array(has("of", "member"), has("in", "located"))).alias("relation_hints"),
+        F.when(F.col("sentence_text").rlike("[0-9]"), F.array(F.lit("NUMBER"), F.lit("ENTITY"))).otherwise(F.array(F.lit("ENTITY"))).alias("answer_types"), F.array().cast("array<string>").alias("entity_overlap"),
+        (F.col("doc") % 10 + 1).cast("int").alias("retrieval_rank"), F.lit(None).cast("double").alias("retrieval_score"),
+    )
+
+
+STOP = ", ".join(f"'{w}'" for w in evidence.STOPWORDS)
+SCORED = UNITS + rf"""
+f AS (SELECT u.*, n.seeds, list_distinct(list_transform(n.seeds, lambda x: lower(x))) AS sd, list_distinct(list_transform(u.entities, lambda x: lower(x))) AS own, n.normalized_question AS nq, n.required,
+  list_distinct(list_filter(regexp_extract_all(replace(lower(sentence_text), 'ß', 'ss'), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains([{STOP}], w))) AS ws,
+  list_distinct(list_filter(regexp_extract_all(replace(n.normalized_question, 'ß', 'ss'), '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains([{STOP}], w))) AS qs
+  FROM units u JOIN names n USING (question_id)),
+feat AS (SELECT *, round(CASE WHEN len(seeds) > 0 THEN least(1.0, len(list_filter(sd, lambda x: list_contains(own, x) OR contains(lower(sentence_text), x))) / len(seeds)) ELSE 0 END, 6)::DOUBLE AS entity_match,
+  round(len(list_intersect(required, relation_hints)) / 2, 6)::DOUBLE AS relation_match, 1.0::DOUBLE AS answer_type_match,
+  round(CASE WHEN len(qs) > 0 THEN len(list_intersect(qs, ws)) / len(qs) ELSE 0 END, 6)::DOUBLE AS token_overlap,
+  CASE WHEN list_contains(sd, doc_title) THEN 1.0::DOUBLE WHEN contains(nq, doc_title) THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS title_match, round(1 / retrieval_rank, 6)::DOUBLE AS retrieval,
+  len(list_filter(own, lambda x: NOT list_contains(sd, x) AND x <> doc_title)) AS others FROM f),
+sc AS (SELECT *, CASE WHEN others > 0 AND len(relation_hints) > 0 THEN 1.0::DOUBLE WHEN others > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS bridge_entity,
+  round(least(0.35, CASE WHEN len(ws) < 4 THEN 0.2 ELSE 0 END + CASE WHEN len(ws) > 60 THEN 0.1 ELSE 0 END + CASE WHEN len(own) = 0 AND len(relation_hints) = 0 THEN 0.15 ELSE 0 END), 6)::DOUBLE AS noise_penalty FROM feat),
+scored AS (SELECT *, round(greatest(0.0, least(1.0, 0.25::DOUBLE * entity_match + 0.2::DOUBLE * relation_match + 0.15::DOUBLE * answer_type_match + 0.15::DOUBLE * token_overlap + 0.1::DOUBLE * title_match + 0.05::DOUBLE * retrieval + 0.1::DOUBLE * bridge_entity - noise_penalty)), 6) AS final_score FROM sc)
+"""
+
+
+def scored_units(spark, sf_dir):
+    return evidence.score_units(units(spark, sf_dir), unit_questions(spark, sf_dir))
+
+
+@query(f"WITH {SCORED} SELECT question_id, evidence_unit_id, {', '.join(evidence.FEATURE_WEIGHTS)}, noise_penalty, final_score FROM scored")
+def evidence_score(spark, sf_dir):
+    return scored_units(spark, sf_dir).select("question_id", "evidence_unit_id", *evidence.FEATURE_WEIGHTS, "noise_penalty", "final_score")
+
+
+GRAPH = SCORED + r""",
+m AS (SELECT DISTINCT question_id, 'sentence::' || evidence_unit_id AS s, 'entity::' || lower(e) AS e FROM (SELECT question_id, evidence_unit_id, unnest(entities) AS e FROM scored)),
+sh AS (SELECT DISTINCT question_id, 'entity::' || lower(x) AS e, 'sentence::' || evidence_unit_id AS s, seeds FROM (SELECT question_id, evidence_unit_id, own, sentence_text, doc_title, seeds, unnest(seeds) AS x FROM scored)
+  WHERE list_contains(own, lower(x)) OR lower(x) = lower(doc_title) OR contains(' ' || trim(regexp_replace(lower(regexp_replace(strip_accents(sentence_text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || lower(x) || ' ')),
+free AS (SELECT * FROM m WHERE (question_id, e) NOT IN (SELECT question_id, e FROM sh))
+"""
+
+
+def edges(spark, sf_dir):
+    return evidence.graph_edges(scored_units(spark, sf_dir), unit_questions(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH} SELECT question_id, s AS source_id, e AS target_id FROM m")
+def mention_edges(spark, sf_dir):
+    return edges(spark, sf_dir).filter("edge_type = 'sentence_mentions_entity'").select("question_id", "source_id", "target_id")
+
+
+@query(f"WITH {GRAPH} SELECT question_id, e AS source_id, s AS target_id FROM sh")
+def seed_edges(spark, sf_dir):
+    return edges(spark, sf_dir).filter("edge_type = 'seed_entity_to_sentence'").select("question_id", "source_id", "target_id")
+
+
+@query()
+def evidence_graph(spark, sf_dir):
+    return edges(spark, sf_dir)
+
+
+@query(f"WITH {GRAPH} SELECT DISTINCT a.question_id, a.e AS x, b.e AS y, a.s AS within FROM m a JOIN m b ON a.question_id = b.question_id AND a.s = b.s AND a.e < b.e")
+def cooccurrence_pairs(spark, sf_dir):
+    mention = mention_edges(spark, sf_dir)
+    right = mention.select("question_id", "source_id", F.col("target_id").alias("y"))
+    return mention.withColumnRenamed("target_id", "x").join(right, ["question_id", "source_id"]).filter("x < y").select("question_id", "x", "y", F.col("source_id").alias("within"))
+
+
+@query(f"WITH {GRAPH} SELECT sh.question_id, sh.e AS seed, sh.s AS s1, free.e AS answer FROM sh JOIN free USING (question_id, s)")
+def factoid_paths(spark, sf_dir):
+    return evidence.factoid_pairs(edges(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH} SELECT a.question_id, a.e AS seed, a.s AS s1, b.e AS bridge, c.s AS s2, d.e AS answer FROM sh a JOIN free b ON a.question_id = b.question_id AND a.s = b.s JOIN free c ON c.question_id = a.question_id AND c.e = b.e AND c.s <> a.s JOIN free d ON d.question_id = a.question_id AND d.s = c.s AND d.e <> b.e")
+def bridge_paths(spark, sf_dir):
+    return evidence.bridge_triples(edges(spark, sf_dir))
+
+
+@query(f"WITH {GRAPH}, k AS (SELECT m.* FROM m WHERE (question_id, e) IN (SELECT question_id, e FROM sh)) SELECT DISTINCT a.question_id, a.e AS left, a.s AS s1, b.e AS right FROM k a JOIN k b ON a.question_id = b.question_id AND a.s = b.s AND a.e < b.e")
+def yes_no_paths(spark, sf_dir):
+    return evidence.yes_no_pairs(edges(spark, sf_dir))
+
+
+@query()
+def ranked_paths(spark, sf_dir):
+    return evidence.factoid_paths(scored_units(spark, sf_dir), edges(spark, sf_dir), unit_questions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SCORED}, w AS (SELECT question_id, chunk_id, sentence_id FROM scored QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, evidence_unit_id) <= 2),
+    n AS (SELECT u.question_id, u.evidence_unit_id, u.chunk_id, u.sentence_id, u.retrieval_rank, min(abs(u.sentence_id - w.sentence_id)) AS gap FROM w JOIN scored u ON u.question_id = w.question_id AND u.chunk_id = w.chunk_id AND abs(u.sentence_id - w.sentence_id) <= 1 GROUP BY ALL)
+    SELECT question_id, evidence_unit_id, chunk_id, sentence_id, retrieval_rank FROM n QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY gap, retrieval_rank, chunk_id, sentence_id) <= 6"""
+)
+def band_neighbors(spark, sf_dir):
+    return _context(spark, sf_dir)
+
+
+def _context(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = scored_units(spark, sf_dir)
+    best = rows.withColumn("nth", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("final_score"), "evidence_unit_id"))).filter("nth <= 2")
+    return evidence.band_neighbours(rows, best).withColumn("sentence_id", F.col("sentence_id").cast("bigint"))
+
+
+@query()
+def prune_context(spark, sf_dir):
+    kept = _context(spark, sf_dir).select("question_id", "evidence_unit_id")
+    return evidence.render_context(units(spark, sf_dir).join(kept, ["question_id", "evidence_unit_id"]))
+
+
+@query("SELECT l_orderkey, l_suppkey, max(l_extendedprice) AS weight, arg_max(l_partkey, (l_extendedprice, -l_linenumber)) AS l_partkey FROM lineitem GROUP BY ALL")
+def edge_max_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_extendedprice").alias("weight"), F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("l_partkey"))
+
+
+@query("SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_linenumber) = 1")
+def path_dedup_argmax(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey", "l_returnflag", "l_linestatus").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return rows.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, ts, event_type FROM events) SELECT a.event_id, max(b.ts) FILTER (b.ts < a.ts) AS left_ts, min(b.ts) FILTER (b.ts > a.ts) AS right_ts
+    FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.ts <> a.ts WHERE a.event_type = 'error' GROUP BY a.event_id"""
+)
+def nearest_mention(spark, sf_dir):
+    """Nearest purchase at either side of each error: two running windows over one shuffle, no range join."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error")).select("event_id", "user_id", "ts", "event_type")
+    mark = F.when(F.col("event_type") == "purchase", F.col("ts"))
+    # rows at one instant are peers: the frames end before and begin behind it
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("at")
+    found = rows.withColumn("at", at).withColumn("left_ts", F.max(mark).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("right_ts", F.min(mark).over(w.rangeBetween(1, Window.unboundedFollowing)))
+    return found.filter("event_type = 'error'").select("event_id", "left_ts", "right_ts")
+
+
+@query("SELECT e.event_id, b.lo FROM events e JOIN (SELECT range AS lo FROM range(0, 100, 10)) b ON e.value >= b.lo AND e.value < b.lo + 10")
+def interval_containment(spark, sf_dir):
+    """Half-open intervals of equal width: the interval is computed, so the join is by equality."""
+    rows = table(spark, sf_dir, "events")
+    bounds = spark.range(0, 100, 10).select(F.col("id").alias("lo"))
+    return rows.withColumn("lo", (F.floor(F.col("value") / 10) * 10).cast("bigint")).join(F.broadcast(bounds), "lo").select("event_id", "lo")
+
+
+# --- events ----------------------------------------------------------------------------------
+
+
+def log(spark, sf_dir):
+    return table(spark, sf_dir, "events")
+
+
+def doubled(spark, sf_dir):
+    """The log with every seventh event delivered twice and every hundredth in conflict."""
+    rows = log(spark, sf_dir)
+    again = rows.filter("event_id % 7 = 0")
+    other = rows.filter("event_id % 100 = 0").withColumn("event_type", F.lit("conflict"))
+    return events.content_hash(rows.unionByName(again).unionByName(other), ["event_id", "user_id", "event_type", "props"])
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS deliveries FROM events WHERE event_id % 100 <> 0")
+def event_dedup(spark, sf_dir):
+    return events.deduplicate(doubled(spark, sf_dir))[0].select("event_id", "user_id", "event_type", "deliveries")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 3 ELSE 2 END::BIGINT AS deliveries FROM events WHERE event_id % 100 = 0")
+def event_conflicts(spark, sf_dir):
+    return events.deduplicate(doubled(spark, sf_dir))[1]
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events")
+def event_sequence(spark, sf_dir):
+    return events.sequence(log(spark, sf_dir), "user_id", "ts", "event_id").select("event_id", "user_id", "sequence")
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    a AS (SELECT user_id, min(n) FILTER (event_type = 'signup') AS st, min(n) FILTER (event_type = 'purchase') AS fi, min(n) FILTER (event_type = 'error') AS fa, min(n) AS lo, max(n) AS hi, count(*) AS n_events FROM s GROUP BY 1)
+    SELECT user_id, CASE WHEN st IS NULL THEN 'unregistered' WHEN fa IS NOT NULL AND coalesce(fa < fi, true) THEN 'failed' WHEN fi IS NOT NULL THEN 'completed' ELSE 'running' END AS state,
+    coalesce(fi < hi OR fa < hi OR st > lo, false) AS out_of_order, n_events FROM a"""
+)
+def event_lifecycle(spark, sf_dir):
+    return events.lifecycle(events.sequence(log(spark, sf_dir), "user_id", "ts", "event_id"), "user_id", "signup", "purchase", "error")
+
+
+@query("SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types, round(avg(value), 4) AS mean_value, round(quantile_cont(value, 0.95), 4) AS p95_value FROM events GROUP BY 1")
+def run_projection(spark, sf_dir):
+    rows = events.projection(log(spark, sf_dir), "user_id")
+    return rows.select("user_id", "n_events", "n_types", F.round("mean_value", 4).alias("mean_value"), F.round("p95_value", 4).alias("p95_value"))
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def resume_work(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return events.resume(labels, labels.filter("toxic = 1"), ["doc_id"]).select("doc_id", "quality")
+
+
+@query("SELECT l_linestatus, round(avg(l_discount), 6) AS mean, count(l_discount) AS denominator, true AS agrees FROM lineitem GROUP BY 1")
+def fsum_verify(spark, sf_dir):
+    """Stored means against recomputed ones, to 1e-12 of their size."""
+    rows = table(spark, sf_dir, "lineitem")
+    stored = rows.groupBy("l_linestatus").agg(F.avg("l_discount").alias("stored"))
+    again = rows.groupBy("l_linestatus").agg(F.sum("l_discount").alias("s"), F.count("l_discount").alias("denominator"))
+    close = F.abs(F.col("stored") - F.col("s") / F.col("denominator")) <= 1e-12 * F.greatest(F.abs("stored"), F.lit(1.0))
+    return stored.join(again, "l_linestatus").select("l_linestatus", F.round("stored", 6).alias("mean"), "denominator", close.alias("agrees"))
