@@ -418,21 +418,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     not read; an empty table gives no rows.
     """
     out = _joined(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), repeats(docs))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", *[F.col(f"lodestone_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Results of the texts for all documents: later copies lose every byte that a match covers, so all or none."""
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    rows = docs.withColumn("own_mark", F.unhex(F.md5("text"))).drop("text").join(found, F.col("own_mark") == F.col("mark"))
-    copy = (doc > F.col("low")) & (F.col("n_bytes") >= induced.DEPTH)
+    own = "lodestone_"  # keeps the texts' columns apart from any that documents have
+    theirs = found.select(*[F.col(c).alias(own + c) for c in found.columns])
+    keyed = docs.withColumn(own + "key", F.unhex(F.md5("text"))).drop("text")
+    rows = keyed.join(theirs, F.col(own + "key") == F.col(own + "mark"))
+    copy = (doc > F.col(own + "low")) & (F.col(own + "n_bytes") >= induced.DEPTH)
+    of = lambda name, if_copy: F.when(copy, if_copy).otherwise(F.col(own + name)).alias(own + name)
     return rows.select(
         *[c for c in docs.columns if c != "text"],
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("bigint")).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("text")] if "kept_text" in found.columns else []),
+        own + "n_bytes",
+        of("n_removed", F.col(own + "n_bytes")),
+        of("n_spans", F.lit(1).cast("bigint")),
+        of("kept_sha256", F.sha2(F.lit(""), 256)),
+        *([F.when(copy, F.lit("")).otherwise(F.col(own + "kept_text")).alias("text")] if "kept_text" in found.columns else []),
     )
 
 

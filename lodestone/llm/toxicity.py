@@ -30,6 +30,8 @@ LEXICON, LEAST_DOCS = 4000, 4
 BEGINNINGS = (6, 5, 4)
 #: Log odds from which a form is in the lexicon.
 LEAST_ODDS = 2.0
+#: Name of the score among columns that an input may have.
+SCORE = "lodestone_toxic_score"
 #: A document with at least this score is predicted toxic.
 CUT = 0.3
 #: The second person in four languages.
@@ -260,8 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``toxic_score`` of each whole text."""
-    names = [*docs.columns, "toxic_score"]
+    """``docs`` with a column ``SCORE`` of each whole text."""
+    names = [*docs.columns, SCORE]
     text = names.index("text")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -270,7 +272,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = np.concatenate([shipped.value.scores([t or "" for t in batch.column(text).slice(a, 500).to_pylist()]) for a in range(0, batch.num_rows, 500)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(SCORE, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -282,9 +284,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     there are none).
     """
     scored = _scored(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """Documents whose score is below ``cut``, with all their columns."""
-    return _scored(docs, train(docs, labels)).filter(F.col("toxic_score") < cut).drop("toxic_score")
+    return _scored(docs, train(docs, labels)).filter(F.col(SCORE) < cut).drop(SCORE)
