@@ -29,7 +29,7 @@ BLOCK = 12 << 20
 #: Matches of a segment at most.
 SEGMENT = 4096
 #: Shards for each shuffle partition.
-SHARDS = 3
+SHARDS = 2
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -110,6 +110,17 @@ def _rows(names: list[str], kinds: list, cols: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct texts of each batch with the least document that has them, so copies are merged before they move."""
+    for batch in batches:
+        seen: dict[bytes, list] = {}
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row = seen.setdefault(hashlib.md5(text.encode(), usedforsecurity=False).digest(), [doc, text])
+            row[0] = min(row[0], doc)
+        keys = [int.from_bytes(m[:8], "big") >> 4 for m in seen]
+        yield _rows(["key", "mark", "low", "text"], [pa.int64(), pa.binary(), pa.int64(), pa.string()], [keys, list(seen), [d for d, _ in seen.values()], [t for _, t in seen.values()]])
+
+
 def _anchors(parts: int):
     """Distinct anchors of blocks of texts, by part: anchors, text numbers, keys of the texts."""
 
@@ -379,13 +390,13 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = SHARDS * parts
-    text = F.coalesce("text", F.lit(""))
     # null ids count as greater than all
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
-    firsts = docs.select(F.unhex(F.md5(text)).alias("mark"), doc.alias("doc"), text.alias("text")).groupBy("mark").agg(F.min("doc").alias("low"), F.first("text").alias("text"))
+    once = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_once, "key bigint, mark binary, low bigint, text string")
+    # dealt by the table's own key, so each task writes one bucket
+    firsts = once.repartition(parts, "key").groupBy("key", "mark").agg(F.min("low").alias("low"), F.first("text").alias("text"))
     table = f"lodestone_{uuid.uuid4().hex}"
-    key = F.conv(F.substring(F.hex("mark"), 1, 15), 16, 10).cast("bigint").alias("key")
-    firsts.select(key, "low", "mark", "text").write.bucketBy(parts, "key").format("parquet").saveAsTable(table)
+    firsts.select("key", "low", "mark", "text").write.bucketBy(parts, "key").format("parquet").saveAsTable(table)
     try:
         texts = spark.table(table)
         long = texts.filter(F.octet_length("text") >= induced.DEPTH)
