@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import corpus, evaluation, events, evidence, retrieval
+from lodestone.operators import questions as analysis
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -486,6 +487,11 @@ def prune_context(spark, sf_dir):
     return evidence.render_context(units(spark, sf_dir).join(kept, ["question_id", "evidence_unit_id"]))
 
 
+@query()
+def question_analysis(spark, sf_dir):
+    return analysis.analyze(questions(spark, sf_dir))
+
+
 @query("SELECT l_orderkey, l_suppkey, max(l_extendedprice) AS weight, arg_max(l_partkey, (l_extendedprice, -l_linenumber)) AS l_partkey FROM lineitem GROUP BY ALL")
 def edge_max_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
