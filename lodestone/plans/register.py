@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import corpus, evaluation, events, evidence, retrieval
+from lodestone.operators import corpus, evaluation, events, evidence, retrieval, systems
 from lodestone.operators import questions as analysis
 
 QUERIES: dict = {}
@@ -592,3 +592,68 @@ def fsum_verify(spark, sf_dir):
     again = rows.groupBy("l_linestatus").agg(F.sum("l_discount").alias("s"), F.count("l_discount").alias("denominator"))
     close = F.abs(F.col("stored") - F.col("s") / F.col("denominator")) <= 1e-12 * F.greatest(F.abs("stored"), F.lit(1.0))
     return stored.join(again, "l_linestatus").select("l_linestatus", F.round("stored", 6).alias("mean"), "denominator", close.alias("agrees"))
+
+
+# --- systems ---------------------------------------------------------------------------------
+
+
+@query(
+    cte("""SELECT question_id, string_agg('[Document ' || rank || ']' || chr(10) || 'Title: ' || source || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank) AS context_text,
+    CAST(ceil(length(string_agg('[Document ' || rank || ']' || chr(10) || 'Title: ' || source || chr(10) || 'Text: ' || text, chr(10) || chr(10) ORDER BY rank)) / 4) AS BIGINT) AS estimated_tokens
+    FROM bmr JOIN (SELECT doc_id AS chunk_id, source, text FROM documents) USING (chunk_id) WHERE rank <= 3 GROUP BY question_id""")
+)
+def fixed_context(spark, sf_dir):
+    chunks = paragraphs(spark, sf_dir).select("chunk_id", F.col("source").alias("title"), "text")
+    return systems.full_context(bm25_hits(spark, sf_dir, 3), chunks, 3)
+
+
+@query(
+    """SELECT item_id AS question_id, (row_number() OVER (PARTITION BY item_id ORDER BY k, s) - 1)::INT AS condition, ['fixed', 'adaptive', 'epsa'][s] AS system, k AS top_k
+    FROM benchmark, unnest([5, 10, 20, 30]) a(k), unnest([1, 2, 3]) b(s)"""
+)
+def condition_grid(spark, sf_dir):
+    return systems.grid(questions(spark, sf_dir))
+
+
+@query(
+    """SELECT l_returnflag AS system, l_linenumber AS top_k, count(*) FILTER (l_linestatus = 'F') AS completed, count(*) FILTER (l_linestatus <> 'F') AS failed,
+    round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS mean_l_quantity, round(coalesce(quantile_cont(l_extendedprice, 0.5) FILTER (l_linestatus = 'F'), 0), 6) AS p50_l_extendedprice,
+    round(coalesce(quantile_cont(l_extendedprice, 0.95) FILTER (l_linestatus = 'F'), 0), 6) AS p95_l_extendedprice FROM lineitem GROUP BY ALL"""
+)
+def condition_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("system"), F.col("l_linenumber").alias("top_k"), F.when(F.col("l_linestatus") == "F", "completed").otherwise("failed").alias("status"), "l_quantity", "l_extendedprice")
+    return systems.condition_summary(rows, ["l_quantity"], "l_extendedprice")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'sufficient_hop1' WHEN o_orderstatus = 'F' THEN 'sufficient_hop2' WHEN o_orderpriority = '5-LOW' THEN 'insufficient_no_query' ELSE 'insufficient_after_hop2' END AS state FROM orders")
+def terminal_state(spark, sf_dir):
+    state = systems.terminal_state(F.col("o_totalprice") > 300000, F.col("o_orderstatus") == "F", F.col("o_orderpriority") != "5-LOW")
+    return table(spark, sf_dir, "orders").select("o_orderkey", state.alias("state"))
+
+
+@query(f"WITH {SCORED} SELECT CASE WHEN entity_match = 0 THEN 'zero' WHEN entity_match = 1 THEN 'one' ELSE 'interior' END AS bucket, count(*) AS n FROM scored GROUP BY 1")
+def score_histogram(spark, sf_dir):
+    return systems.score_histogram(scored_units(spark, sf_dir), "entity_match")
+
+
+@query(
+    """SELECT l_suppkey AS question_id, 'n' || l_linenumber AS node_id, bool_or(l_returnflag = 'R') AS is_seed, list_distinct(list(l_returnflag))  IS NOT NULL AS has_labels,
+    arg_min(l_returnflag, (l_orderkey, l_partkey)) AS label FROM lineitem GROUP BY ALL"""
+)
+def node_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("question_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("node_id"), (F.col("l_returnflag") == "R").alias("is_seed"), F.struct("l_orderkey", "l_partkey").alias("pos"), F.col("l_returnflag").alias("label"))
+    return systems.merge_nodes(rows).select("question_id", "node_id", "is_seed", (F.size("labels") > 0).alias("has_labels"), "label")
+
+
+@query("SELECT NULL::VARCHAR AS token, 0::BIGINT AS n WHERE false")
+def index_violations(spark, sf_dir):
+    return systems.broken_postings(retrieval.postings(paragraphs(spark, sf_dir))).select("token", "n")
+
+
+@query("SELECT NULL::BIGINT AS question_id, NULL::VARCHAR AS text WHERE false")
+def span_violations(spark, sf_dir):
+    """Names whose place in the question does not hold them; none should."""
+    found = analysis.analyze(questions(spark, sf_dir)).select("question_id", F.explode("seed_entities").alias("s"))
+    matching = questions(spark, sf_dir).select("question_id", T.matching_text(F.col("text")).alias("m"))
+    rows = found.join(matching, "question_id").select("question_id", "m", "s.text", "s.start", "s.end")
+    return systems.broken_spans(rows, "m", "text", "start", "end").select("question_id", "text")
