@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import corpus, evaluation, events, evidence, retrieval, systems
+from lodestone.operators import corpus, evaluation, events, evidence, next_hop, retrieval, systems
 from lodestone.operators import questions as analysis
 
 QUERIES: dict = {}
@@ -657,3 +657,19 @@ def span_violations(spark, sf_dir):
     matching = questions(spark, sf_dir).select("question_id", T.matching_text(F.col("text")).alias("m"))
     rows = found.join(matching, "question_id").select("question_id", "m", "s.text", "s.start", "s.end")
     return systems.broken_spans(rows, "m", "text", "start", "end").select("question_id", "text")
+
+
+@query()
+def next_hop_query(spark, sf_dir):
+    """Proposals for all questions from their best one-sentence path, as if no pass had been sufficient."""
+    scored = scored_units(spark, sf_dir)
+    best = evidence.factoid_paths(scored, edges(spark, sf_dir), unit_questions(spark, sf_dir), 1).select("question_id", F.replace(F.substring_index("answer", "::", -1), F.lit("_"), F.lit(" ")).alias("answer_candidate"), F.lit(True).alias("path"))
+    rows = unit_questions(spark, sf_dir).join(best, "question_id", "left")
+    none = F.lit(None).cast("string")
+    chain = F.when(F.col("path"), F.array(F.get("seeds", F.lit(0)), F.col("answer_candidate")))
+    return next_hop.propose(
+        rows.select(
+            "question_id", "question_type", "expected_answer_type", "seeds", "required", F.array().cast("array<string>").alias("targets"), F.lit(False).alias("sufficient"), none.alias("missing_evidence"), "answer_candidate",
+            F.coalesce("path", F.lit(False)).alias("has_path"), none.alias("bridge_entity"), chain.alias("entity_chain"), F.array().cast("array<string>").alias("relation_chain"),
+        )
+    )
