@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 #: The systems and depths of a full grid.
-SYSTEMS, DEPTHS = ("fixed", "adaptive", "epsa"), (5, 10, 20, 30)
+SYSTEMS, DEPTHS = ("fixed", "adaptive", "evidence"), (5, 10, 20, 30)
 
 
 def full_context(hits: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:

@@ -608,7 +608,7 @@ def fixed_context(spark, sf_dir):
 
 
 @query(
-    """SELECT item_id AS question_id, (row_number() OVER (PARTITION BY item_id ORDER BY k, s) - 1)::INT AS condition, ['fixed', 'adaptive', 'epsa'][s] AS system, k AS top_k
+    """SELECT item_id AS question_id, (row_number() OVER (PARTITION BY item_id ORDER BY k, s) - 1)::INT AS condition, ['fixed', 'adaptive', 'evidence'][s] AS system, k AS top_k
     FROM benchmark, unnest([5, 10, 20, 30]) a(k), unnest([1, 2, 3]) b(s)"""
 )
 def condition_grid(spark, sf_dir):
