@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on; a longer text is a step of its own.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Words hashed at once.
 WORDS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +53,15 @@ def steps(offsets: np.ndarray, size: int = STEP) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim is not None:
+        trim(0)
 
 
 @dataclass

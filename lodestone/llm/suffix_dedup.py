@@ -25,11 +25,11 @@ from lodestone.llm import bytescan, induced, store
 #: Bytes of the short strings whose hashes are compared.
 GRAM = 20
 #: Bytes of text that one block of anchors or segments comes from.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Matches of a segment at most.
 SEGMENT = 4096
 #: Shards for each shuffle partition.
-SHARDS = 2
+SHARDS = 3
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -155,10 +155,12 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
             if row[0] != part:
                 if rows:
                     yield part, rows
+                    bytescan.release()
                 part, rows = row[0], []
             rows.append(row[1:])
     if rows:
         yield part, rows
+        bytescan.release()
 
 
 def _shared(parts: int):
