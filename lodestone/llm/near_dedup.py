@@ -26,6 +26,8 @@ RUN, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Members of a pivot that one task compares.
 MEMBERS = 2000
+#: Members of a bucket that the first round offers to those outside its main class, and the growth a round.
+OFFERED, GROWTH = 8, 16
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SIDE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -103,7 +105,7 @@ def _node(hashes: np.ndarray, raw: np.ndarray) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, bands`` of each document: which text it is, and its band keys (none without words)."""
+    """``doc_id, node, size, bands`` of each document: which text it is, its runs, and its band keys (none without words)."""
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +121,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig = bag_minhash(runs).view(np.uint64).reshape(b - a, BANDS, ROWS)
                 keys = bytescan.mix((sig * odd).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
                 bands = [list(keys[k]) if len(runs[k]) else [] for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array([len(r) for r in runs], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
 
-    return narrow.mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
+    return narrow.mapInArrow(run, "doc_id bigint, node binary, size bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,47 +163,88 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Equal word sequences are one node.  Nodes that share a band key are a
     bucket; each bucket names one pivot, the member that most others share
-    buckets with, and every member is compared with it exactly.  Members that
-    are not similar to it are compared with a second pivot, the most central of
-    those left, and with two drawn at random from the bucket.  So a bucket of
-    n nodes costs at most 4n comparisons, and classes are the components of the
-    links found.  Buckets have no limit of size.  ``n_links`` counts the
-    verified links of the document's node.
+    buckets with, and every member is compared with it exactly.  Rounds then
+    go on until each pair of a bucket is compared or is in one class anyway
+    (``_rounds``), so classes are the components of all links within buckets.
+    Buckets have no limit of size.  ``n_links`` counts the verified links of
+    the document's node.
 
     Null texts are empty; texts without words are alike only if equal; null
     ids get the class of their text; repeated rows give repeated results;
     extra columns are not read; an empty table gives no rows.
     """
     signed = store.written(sign(docs), "signed")
-    rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
+    rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     rows = store.written(rows.join(shared, "bucket"), "buckets")
     central = rows.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
-    rows = rows.join(central, "node")
-    drawn = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(k))).alias(f"drawn{k}") for k in (1, 2)]
-    pivots = rows.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"), *drawn)
+    pivots = rows.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"))
     rows = store.written(rows.join(pivots, "bucket"), "pivoted")
     wanted = rows.select("node").distinct()
     holders = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("holder"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = store.written(_node_texts(texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"])).select("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     first = store.written(_verified(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts), "verified")
-    failed = first.filter(F.col("similarity") < SIMILARITY).select("pivot", F.col("member").alias("node"))
-    left = rows.join(failed, ["pivot", "node"])
-    second = left.groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("next"))
-    more = left.join(second, "bucket").select("node", "pivot", F.explode(F.array_distinct(F.array("next", "drawn1", "drawn2"))).alias("other")).filter("other <> node and other <> pivot")
-    more = more.select(F.greatest("node", "other").alias("pivot"), F.least("node", "other").alias("member")).distinct()
-    done = first.select(F.greatest("pivot", "member").alias("pivot"), F.least("pivot", "member").alias("member"))
-    again = store.written(_verified(more.join(done, ["pivot", "member"], "left_anti"), texts), "verified")
-    links = first.unionByName(again).filter(F.col("similarity") >= SIMILARITY).select(F.greatest("pivot", "member").alias("a"), F.least("pivot", "member").alias("b")).distinct()
-    links = store.written(links, "verified-links")
-    labels = components(links)
+    links, labels = _rounds(rows, first, texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = signed.select("doc_id", "node").join(labels.join(degree, "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "label").select("doc_id", "class_id", "n_links")
 
 
+def _rounds(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links ``(a, b)`` and the components' ``(node, label)``, from the comparisons with pivots on.
+
+    A bucket is open while its members have more than one label.  Each round
+    offers some of an open bucket's members, drawn by hash and many times more
+    of them each round, to its members outside its most frequent label; pairs
+    of one label are left out.  Once all members have been offered, every pair
+    of the bucket is compared or in one component, and the bucket is closed.
+    A pair is passed over only if it can't be a link: by the sizes of its
+    texts, or by their distances from the bucket's pivot, as the distance is a
+    metric.
+    """
+    order = [F.greatest("pivot", "member").alias("pivot"), F.least("pivot", "member").alias("member")]
+    close = F.col("similarity") >= SIMILARITY
+    done = first.select(*order, "similarity")
+    fresh = done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
+    labels = store.written(components(fresh), "labels")
+    to_pivot = first.select("pivot", F.col("member").alias("node"), (1 - F.col("similarity")).alias("far"))
+    open_rows = rows.join(to_pivot, ["pivot", "node"], "left").select("bucket", "node", "size", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
+    offered = OFFERED
+    while True:
+        named = open_rows.join(labels, "node", "left").select("bucket", "node", "size", "n", "far", F.coalesce("label", "node").alias("label"))
+        per_label = named.groupBy("bucket", "label").agg(F.count("*").alias("held"))
+        main = per_label.groupBy("bucket").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("n_labels")).filter("n_labels > 1").drop("n_labels")
+        named = store.written(named.join(main, "bucket"), "open")
+        if named.isEmpty():
+            break
+        salts = F.ceil(F.col("n") / MEMBERS).cast("int")
+        theirs = named.filter(F.pmod(F.xxhash64("node", "bucket"), F.col("n")) < offered)
+        theirs = theirs.select("bucket", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), *[F.col(c).alias("its_" + c) for c in ("node", "size", "far", "label")])
+        mine = named.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        sized = F.least("size", "its_size") >= (SIMILARITY - 1e-9) * F.greatest("size", "its_size")
+        near = F.abs(F.col("far") - F.col("its_far")) <= 1 - SIMILARITY + 1e-9
+        pairs = mine.join(theirs, ["bucket", "salt"]).filter((F.col("label") != F.col("its_label")) & sized & near)
+        pairs = pairs.select(F.greatest("node", "its_node").alias("pivot"), F.least("node", "its_node").alias("member")).distinct()
+        pairs = store.written(pairs.join(done, ["pivot", "member"], "left_anti"), "pairs")
+        again = store.written(_verified(pairs, texts), "verified")
+        done = done.unionByName(again)
+        of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        found = again.filter(close).join(of("pivot"), "pivot", "left").join(of("member"), "member", "left")
+        found = found.select(F.coalesce("pivot_label", "pivot").alias("a"), F.coalesce("member_label", "member").alias("b"))
+        merged = store.written(components(found), "merged")
+        if not merged.isEmpty():
+            # nodes new to all links come in under their own name
+            every = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
+            joined = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+            labels = store.written(joined.select("node", F.coalesce("least", "label").alias("label")), "labels")
+        open_rows = named.filter(F.col("n") > offered).select("bucket", "node", "size", "n", "far")
+        offered *= GROWTH
+    links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")
+    return links, labels
+
+
 def _node_texts(texts: DataFrame) -> DataFrame:
     """``node, text`` of each row; a node's name depends on its words only."""
 

@@ -161,3 +161,35 @@ def test_cut_texts_keep_their_columns(odd):
     assert out.columns == odd.columns
     rows = {r.doc_id: r for r in out.filter("doc_id in (3, 5, 6, 7)").collect()}
     assert rows[5].text == "" and rows[3].n_chars == len(rows[3].text) > 0 and len(rows[7].text) < 60 < len(rows[6].text)
+
+
+def versions(n, edits, seed):
+    """Texts of 200 words of which each edits a few words of an earlier one, and their classes by all pairs."""
+    rng = np.random.default_rng(seed)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 200)]]
+    for _ in range(n - 1):
+        w = list(texts[rng.integers(len(texts))])
+        for p in rng.choice(200, int(rng.integers(edits[0], edits[1] + 1)), replace=False):
+            w[p] = f"e{rng.integers(10**9)}"
+        texts.append(w)
+    number = {}
+    sets = [{number.setdefault(tuple(w[a : a + 5]), len(number)) for a in range(196)} for w in texts]
+    held = np.zeros((n, len(number)), np.float32)
+    for k, s in enumerate(sets):
+        held[k, list(s)] = 1
+    both, size = held @ held.T, held.sum(1)
+    alike = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
+    label = np.arange(n)
+    while True:
+        low = np.where(alike, label[None, :], n).min(1)
+        if (low == label).all():
+            return [" ".join(w) for w in texts], label.tolist()
+        label = low
+
+
+@pytest.mark.parametrize("edits", [(2, 4), (3, 4)])
+def test_families_of_many_versions_have_their_true_classes(spark, edits):
+    texts, want = versions(1500, edits, 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert sum(got[k] != c for k, c in enumerate(want)) == 0
