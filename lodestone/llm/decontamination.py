@@ -1,12 +1,10 @@
-"""Benchmark decontamination: CGK embedding and bit sampling over item-sized windows.
+"""Benchmark decontamination: exact pieces of items at every word, verified by edit distance.
 
-A window is a run of words that begins at a landmark: a word whose hash falls
-in a fixed quarter, or a word that an item without such a landmark names.
-A random walk (Chakraborty, Goldenberg, Koucky 2016) maps the window to a
-string three times as long in which few edits change few places.  Each of a
-number of tables samples some places; windows and items that agree on all of
-a table's places are candidates, and those are verified by their exact edit
-distance in words.
+An item of ``n`` words matches at ``k = int(DISTANCE * n)`` edits or fewer.
+Cut into ``k + 1`` pieces, it has a piece that no edit touches, so each match
+holds one of its pieces word for word.  Pieces are looked up at every word of
+the documents, and what they point at is verified by its exact edit distance
+in words; no match is missed but by the verification's own rule.
 """
 
 from __future__ import annotations
@@ -22,69 +20,18 @@ from lodestone.llm import bytescan
 
 #: Most edits of a match, as a share of the item's words.
 DISTANCE = 0.2
-#: Tables of each window length, and places that each samples.
-TABLES, PLACES = 16, 8
-#: Steps of the walk for each word of a window; on average half of them move on.
-STEPS = 1.8
-#: Landmarks: words whose hash is 0 modulo this.
-LANDMARK = 4
 #: Items that one pass takes; a larger benchmark is taken in blocks of so many.
 ITEMS = 20_000
-#: Windows that begin in the first part of an item of this share of its words.
-HEAD = 0.5
-SEED = 20240229
-#: Bits of a key that a table's filter looks at.
+#: Bits of a key that a length's filter looks at.
 BITS = 18
+#: Word places that are looked at at once.
+PLACES = 1 << 18
 
 
-class Walk:
-    """One CGK walk; each window length has tables of its own places in it."""
-
-    def __init__(self, lengths: list[int]):
-        rng = np.random.default_rng(SEED)
-        steps = max(1, int(STEPS * max(lengths, default=1)))
-        self.odd = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.factor: dict[int, list[tuple[int, np.uint64]]] = {}
-        self.tables = TABLES * len(lengths)
-        for c, length in enumerate(lengths):
-            own = np.random.default_rng([SEED, length])
-            top = max(PLACES, int(STEPS * length))
-            for t in range(TABLES):
-                # half of the tables look at the first half of the walk only, where less has gone astray
-                end = top if t % 2 else max(PLACES, top // 2)
-                for p in own.choice(end, PLACES, replace=False):
-                    odd = own.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                    self.factor.setdefault(min(int(p), steps - 1), []).append((c * TABLES + t, odd))
-        self.last = max(self.factor, default=0)
-
-    def keys(self, words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Key of each table for the windows at ``starts``; past the end of its text a window goes on with 0."""
-        at = np.minimum(starts, len(words))
-        words = np.append(words, np.uint64(0))
-        stops = np.minimum(stops, len(words) - 1)
-        near_end = bool(len(starts)) and bool((stops - starts <= self.last).any())
-        out = np.zeros((self.tables, len(starts)), np.uint64)
-        for step in range(self.last + 1):
-            now = words[at]
-            if near_end:
-                now[at >= stops] = 0
-            for t, odd in self.factor.get(step, ()):
-                out[t] += now * odd
-            move = (now * self.odd[step]) >> np.uint64(63)
-            at += move.view(np.int64)
-        out ^= out >> np.uint64(32)
-        return out
-
-
-def window_length(n: int) -> int:
-    """Windows of an item of ``n`` words: the largest of a fixed series that its head leaves room for."""
-    room = max(1, n - int(n * HEAD))
-    length = 1
-    while True:
-        more = max(length + 1, int(length * 1.5))
-        if more > room:
-            return length
-        length = more
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Begin and length of the pieces of an item of ``n`` words: one more than a match has edits."""
+    cuts = [n * j // (int(DISTANCE * n) + 1) for j in range(int(DISTANCE * n) + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def infix_distance(item: np.ndarray, doc: np.ndarray) -> int:
@@ -100,7 +47,7 @@ def infix_distance(item: np.ndarray, doc: np.ndarray) -> int:
 
 
 class Index:
-    """Keys of the items' windows; looks for items in documents."""
+    """Pieces of the items by length; looks for items in documents."""
 
     def __init__(self, items: list[tuple[int, str]]):
         text = pa.array([t or "" for _, t in items])
@@ -108,32 +55,18 @@ class Index:
         found = bytescan.words(raw, offsets)
         self.ids = [i for i, _ in items]
         self.words = [found.of(k) for k in range(len(items))]
-        extra, windows = [], {}
+        self.sorted = [np.sort(ws) for ws in self.words]
+        held: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for k, ws in enumerate(self.words):
-            if not len(ws):
-                continue
-            head = max(1, int(len(ws) * HEAD))
-            marks = np.flatnonzero(ws[:head] % np.uint64(LANDMARK) == 0)
-            if not len(marks):
-                # any one word of the head, which then is a landmark in documents too
-                marks = np.array([int(np.argmin(ws[:head]))])
-                extra.append(ws[marks[0]])
-            length = window_length(len(ws))
-            windows.setdefault(length, []).extend((k, int(m)) for m in marks)
-        self.extra = np.unique(np.array(extra, np.uint64))
-        lengths = sorted(windows)
-        self.walk = Walk(lengths)
-        flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
-        first = np.cumsum([0, *map(len, self.words)])
+            for begin, length in pieces(len(ws)) if len(ws) else ():
+                held.setdefault(length, []).append((bytescan.shingles(ws[begin : begin + length], length)[0], k, begin))
         self.tables = []
-        for c, length in enumerate(lengths):
-            pairs = np.array(windows[length])
-            keys = self.walk.keys(flat, first[pairs[:, 0]] + pairs[:, 1], first[pairs[:, 0] + 1])
-            for t in range(c * TABLES, (c + 1) * TABLES):
-                order = np.argsort(keys[t], kind="stable")
-                bits = np.zeros(1 << BITS, bool)
-                bits[(keys[t] & np.uint64((1 << BITS) - 1)).view(np.int64)] = True
-                self.tables.append((keys[t][order], pairs[order], bits))
+        for length, rows in sorted(held.items()):
+            keys = np.array([r[0] for r in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << BITS, bool)
+            bits[(keys & np.uint64((1 << BITS) - 1)).view(np.int64)] = True
+            self.tables.append((length, keys[order], np.array([r[1:] for r in rows])[order], bits))
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """``(text, item, distance, word)`` of the best match of each text and item."""
@@ -141,25 +74,21 @@ class Index:
         ws = found.hashes
         if not len(ws):
             return
-        mark = ws % np.uint64(LANDMARK) == 0
-        if len(self.extra):
-            mark |= np.isin(ws, self.extra)
-        starts = np.flatnonzero(mark)
-        text = np.searchsorted(found.first, starts, "right") - 1
-        stop = found.first[text + 1]
         candidates: set[tuple[int, int, int]] = set()
         low = np.uint64((1 << BITS) - 1)
-        for a in range(0, len(starts), 1 << 15):
-            s = starts[a : a + (1 << 15)]
-            keys = self.walk.keys(ws, s, stop[a : a + (1 << 15)])
-            for mine, (sorted_keys, pairs, bits) in zip(keys, self.tables, strict=True):
+        for length, keys, pairs, bits in self.tables:
+            for a in range(0, len(ws) - length + 1, PLACES):
+                mine = bytescan.shingles(ws[a : a + PLACES + length - 1], length)
                 likely = np.flatnonzero(bits[(mine & low).view(np.int64)])
                 k = mine[likely]
-                lo, hi = np.searchsorted(sorted_keys, k, "left"), np.searchsorted(sorted_keys, k, "right")
-                for x in np.flatnonzero(hi > lo):
-                    w = a + int(likely[x])
-                    for item, place in pairs[lo[x] : hi[x]].tolist():
-                        candidates.add((int(text[w]), item, int(starts[w]) - place))
+                lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+                hit = hi > lo
+                at = likely[hit] + a
+                text = np.searchsorted(found.first, at, "right") - 1
+                inside = at + length <= found.first[text + 1]
+                for w, t, x, y in zip(at[inside].tolist(), text[inside].tolist(), lo[hit][inside].tolist(), hi[hit][inside].tolist(), strict=True):
+                    for item, place in pairs[x:y].tolist():
+                        candidates.add((t, item, w - place))
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for k, item, begin in sorted(candidates):
             have = best.get((k, item))
@@ -170,6 +99,13 @@ class Index:
             a = max(int(found.first[k]), begin - most)
             b = min(int(found.first[k + 1]), begin + len(words) + most)
             whole = ws[max(int(found.first[k]), begin) : begin + len(words)]
+            if len(whole) != len(words) or not np.array_equal(whole, words):
+                # each word of the item that the stretch lacks is an edit
+                mine = self.sorted[item]
+                near = ws[a:b]
+                near = near[mine[np.minimum(np.searchsorted(mine, near), len(mine) - 1)] == near]
+                if len(near) < len(words) - most:
+                    continue
             d = 0 if len(whole) == len(words) and np.array_equal(whole, words) else infix_distance(words, ws[a:b])
             if d <= most and (have is None or d < have[0]):
                 best[(k, item)] = (d, max(0, begin - int(found.first[k])))

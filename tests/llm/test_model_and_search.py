@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -85,3 +87,31 @@ def test_isotonic_rises():
     raw = rng.normal(size=500)
     knots, values = toxicity.isotonic(raw, (raw + rng.normal(size=500) > 0).astype(float))
     assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all() and 0 <= values[0] <= values[-1] <= 1
+
+
+def edited(words, n, kind, rng):
+    """``words`` with ``n`` edits of a kind at places drawn anew."""
+    w = list(words)
+    for p in sorted(rng.choice(len(w), n, replace=False), reverse=True):
+        if kind == "delete":
+            del w[p]
+        else:
+            w[p : p + (kind == "replace")] = [f"zz{p}x"]
+    return w
+
+
+@pytest.mark.parametrize("kind", ["replace", "delete", "insert"])
+def test_every_item_is_found_at_the_most_edits_of_its_length(kind, spark):
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rows += [(-n, " ".join(f"own{n}w{k}" for k in range(n))) for n in range(1, 60)]
+    index = decontamination.Index(rows)
+    rng = np.random.default_rng(4)
+    lost = []
+    for k, (_, text) in enumerate(rows):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+        for _ in range(3):
+            near = edited(w, int(0.2 * len(w)), kind, rng)
+            raw, offsets = bytescan.buffer(pa.array(["some words before it " + " ".join(near) + " and after"]))
+            if not any(x[1] == k and x[2] <= int(0.2 * len(w)) for x in index.search(raw, offsets)):
+                lost.append(len(w))
+    assert sorted(lost) == []
