@@ -287,6 +287,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= CUT).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """Documents whose score is below ``cut``, with all their columns."""
+def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """Documents that ``toxicity`` doesn't predict toxic, with all their columns."""
     return _scored(docs, train(docs, labels)).filter(F.col(SCORE) < cut).drop(SCORE)

@@ -115,3 +115,9 @@ def test_every_item_is_found_at_the_most_edits_of_its_length(kind, spark):
             if not any(x[1] == k and x[2] <= int(0.2 * len(w)) for x in index.search(raw, offsets)):
                 lost.append(len(w))
     assert sorted(lost) == []
+
+
+def test_the_stage_drops_what_the_operator_predicts_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 0").collect()}
