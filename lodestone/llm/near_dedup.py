@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodestone.llm import bytescan, store
 from lodestone.llm.components import components
@@ -173,6 +174,15 @@ def classes(docs: DataFrame) -> DataFrame:
     ids get the class of their text; repeated rows give repeated results;
     extra columns are not read; an empty table gives no rows.
     """
+    signed, labels, links = _labelled(docs)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    named = signed.select("doc_id", "node").join(labels.join(degree, "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return named.join(least, "label").select("doc_id", "class_id", "n_links")
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed documents, ``(node, label)`` of the nodes that have links, and the links."""
     signed = store.written(sign(docs), "signed")
     rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -186,10 +196,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = store.written(_node_texts(texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"])).select("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     first = store.written(_verified(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts), "verified")
     links, labels = _rounds(rows, first, texts)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = signed.select("doc_id", "node").join(labels.join(degree, "node"), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "label").select("doc_id", "class_id", "n_links")
+    return signed, labels, links
 
 
 def _rounds(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +253,7 @@ def _rounds(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFr
 
 
 def _node_texts(texts: DataFrame) -> DataFrame:
-    """``node, text`` of each row; a node's name depends on its words only."""
+    """``node`` before the columns of each row, of which the first is its text; a node's name depends on its words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,15 +263,26 @@ def _node_texts(texts: DataFrame) -> DataFrame:
                 part = raw[offsets[a] : offsets[b]]
                 found = bytescan.words(part, cut)
                 nodes = [_node(found.of(k), part[cut[k] : cut[k + 1]]) for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0).slice(a, b - a)], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), *[c.slice(a, b - a) for c in batch.columns]], ["node", *batch.schema.names])
 
-    return texts.mapInArrow(run, "node binary, text string")
+    return texts.mapInArrow(run, StructType([StructField("node", BinaryType()), *texts.schema.fields]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each class, once, with all its columns."""
-    found = store.written(classes(docs), "classes")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    rows, ids = found.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).first()
-    return out if rows == ids else out.dropDuplicates(["doc_id"])
+    """One document of each class with all its columns: the least id's (null ids last), of its texts that of the least digest.
+
+    Rows are told apart by id and text, so null and repeated ids are no
+    reason to drop a row.
+    """
+    mine = F.sha2(F.coalesce("text", F.lit("")), 256)
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    _, labels, _ = _labelled(docs)
+    rows = store.written(_node_texts(narrow.select("text", "doc_id", F.sha2("text", 256).alias("digest"))).drop("text"), "digests")
+    named = rows.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    kept = named.groupBy("label").agg(F.min(least).alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept_digest"))
+    kept = store.written(kept, "kept")
+    own = "_near_dedup_digest"
+    out = docs.withColumn(own, mine).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_digest")), "left_semi")
+    n, distinct = rows.agg(F.count("*"), F.count_distinct(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest"))).first()
+    return (out if n == distinct else out.dropDuplicates(["doc_id", own])).drop(own)

@@ -193,3 +193,10 @@ def test_families_of_many_versions_have_their_true_classes(spark, edits):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     assert sum(got[k] != c for k, c in enumerate(want)) == 0
+
+
+def test_kept_texts_with_null_and_repeated_ids(odd, odd_rows):
+    kept = Counter((r.doc_id, r.text or "") for r in near_dedup.one_of_each(odd).collect())
+    gone = {(2, ""), (4, odd_rows[3][1]), (5, odd_rows[4][1]), (7, odd_rows[6][1]), (None, "")}
+    want = {(i, t or "") for i, t in odd_rows} - gone
+    assert kept == Counter(want)
