@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -27,8 +27,10 @@ RUN, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Members of a pivot that one task compares.
 MEMBERS = 2000
-#: Members of a bucket that the first round offers to those outside its main class, and the growth a round.
-OFFERED, GROWTH = 8, 16
+#: Members of a group that the first round offers to those outside its main class, and the growth a round.
+OFFERED, GROWTH = 1, 16
+#: Counters by which elements are put in order; many elements share one.
+SLOTS = 1 << 18
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SIDE = np.uint64(0xE7037ED1A0B428DB)
 
@@ -106,8 +108,9 @@ def _node(hashes: np.ndarray, raw: np.ndarray) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, size, bands`` of each document: which text it is, its runs, and its band keys (none without words)."""
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """``doc_id, digest, node, bands`` of each document: its text's digest, which word sequence it is, and its band keys (none without words)."""
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(5).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,9 +125,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 sig = bag_minhash(runs).view(np.uint64).reshape(b - a, BANDS, ROWS)
                 keys = bytescan.mix((sig * odd).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64)
                 bands = [list(keys[k]) if len(runs[k]) else [] for k in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array([len(r) for r in runs], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "bands"])
 
-    return narrow.mapInArrow(run, "doc_id bigint, node binary, size bigint, bands array<bigint>")
+    return narrow.mapInArrow(run, "doc_id bigint, digest string, node binary, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,11 +167,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Equal word sequences are one node.  Nodes that share a band key are a
     bucket; each bucket names one pivot, the member that most others share
-    buckets with, and every member is compared with it exactly.  Rounds then
-    go on until each pair of a bucket is compared or is in one class anyway
-    (``_rounds``), so classes are the components of all links within buckets.
-    Buckets have no limit of size.  ``n_links`` counts the verified links of
-    the document's node.
+    buckets with, and every member is compared with it exactly.  Members of
+    buckets that are not in one class then are joined exactly (``_rest``), so
+    classes are the components of all links within buckets.  Buckets have no
+    limit of size.  ``n_links`` counts the verified links of the document's
+    node.
 
     Null texts are empty; texts without words are alike only if equal; null
     ids get the class of their text; repeated rows give repeated results;
@@ -184,7 +187,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed documents, ``(node, label)`` of the nodes that have links, and the links."""
     signed = store.written(sign(docs), "signed")
-    rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "size", F.explode("bands").alias("bucket"))
+    rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     rows = store.written(rows.join(shared, "bucket"), "buckets")
     central = rows.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
@@ -195,47 +198,115 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = store.written(_node_texts(texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"])).select("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     first = store.written(_verified(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts), "verified")
-    links, labels = _rounds(rows, first, texts)
+    links, labels = _rest(rows, first, texts)
     return signed, labels, links
 
 
-def _rounds(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _counted(texts: DataFrame) -> np.ndarray:
+    """How many texts hold the elements of each of ``SLOTS`` slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, bag in _bags(batch):
+                held += np.bincount((bag % np.uint64(SLOTS)).view(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(held[slot])], ["slot", "n"])
+
+    got = texts.select("node", "text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def _bags(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and tagged multiset of each row's text, the second column."""
+    raw, offsets = bytescan.buffer(batch.column(1))
+    for a, b in bytescan.steps(offsets):
+        found = bytescan.words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        for k in range(a, b):
+            yield k, tagged(bytescan.shingles(found.of(k - a), RUN))
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """``node, size, group, place``: the rarest elements of each text, enough of them that texts of a link share one.
+
+    Of two sets that are alike by ``SIMILARITY``, each lacks at most the rest
+    of the other; so in any common order of elements their first ``size -
+    ceil(SIMILARITY * size) + 1`` have one in common.  The order is by rarity,
+    so that groups are small; it need not be exact.
+    """
+    shipped = texts.sparkSession.sparkContext.broadcast(_counted(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, cols, size = batch.column(0).to_pylist(), ([], [], [], []), 0
+            for k, bag in _bags(batch):
+                n = len(bag)
+                if not n:
+                    continue
+                keep = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+                rank = np.lexsort((bag, shipped.value[(bag % np.uint64(SLOTS)).view(np.int64)]))[:keep]
+                for col, x in zip(cols, ([nodes[k]] * keep, np.full(keep, n), bag[rank].view(np.int64), np.arange(keep)), strict=True):
+                    col.append(x)
+                size += keep
+                if size > 100_000:
+                    yield _prefix_rows(cols)
+                    cols, size = ([], [], [], []), 0
+            if size:
+                yield _prefix_rows(cols)
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, size bigint, group bigint, place bigint")
+
+
+def _prefix_rows(cols: tuple[list, ...]) -> pa.RecordBatch:
+    nodes = pa.array([x for part in cols[0] for x in part], pa.binary())
+    return pa.RecordBatch.from_arrays([nodes, *[pa.array(np.concatenate(c)) for c in cols[1:]]], ["node", "size", "group", "place"])
+
+
+def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links ``(a, b)`` and the components' ``(node, label)``, from the comparisons with pivots on.
 
-    A bucket is open while its members have more than one label.  Each round
-    offers some of an open bucket's members, drawn by hash and many times more
-    of them each round, to its members outside its most frequent label; pairs
-    of one label are left out.  Once all members have been offered, every pair
-    of the bucket is compared or in one component, and the bucket is closed.
-    A pair is passed over only if it can't be a link: by the sizes of its
-    texts, or by their distances from the bucket's pivot, as the distance is a
-    metric.
+    A bucket whose members have more than one label is open, and an exact
+    set-similarity join of the members of open buckets finds what the pivots
+    missed.  Texts meet in groups of those that hold one rare element
+    (``_prefixes``).  Each round offers some of a group's members, always
+    those with the least hash and many times more of them each round, to the
+    members outside its most frequent label; pairs of one label, and pairs
+    whose sizes or places rule out a link, are left out.  Once all members
+    have been offered, every pair of the group is compared or in one
+    component, and the group is closed.
     """
     order = [F.greatest("pivot", "member").alias("pivot"), F.least("pivot", "member").alias("member")]
     close = F.col("similarity") >= SIMILARITY
     done = first.select(*order, "similarity")
-    fresh = done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
-    labels = store.written(components(fresh), "labels")
-    to_pivot = first.select("pivot", F.col("member").alias("node"), (1 - F.col("similarity")).alias("far"))
-    open_rows = rows.join(to_pivot, ["pivot", "node"], "left").select("bucket", "node", "size", "n", F.coalesce("far", F.lit(0.0)).alias("far"))
+    labels = store.written(components(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b"))), "labels")
+
+    def several(held: DataFrame, by: str) -> DataFrame:
+        """Rows of groups with more than one label, with the label of each row."""
+        named = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = named.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(by)
+        return named.join(mixed, by)
+
+    in_open = store.written(several(rows.select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
+    open_rows = store.written(_prefixes(texts.join(in_open, "node", "left_semi")), "prefixes")
     offered = OFFERED
     while True:
-        named = open_rows.join(labels, "node", "left").select("bucket", "node", "size", "n", "far", F.coalesce("label", "node").alias("label"))
-        per_label = named.groupBy("bucket", "label").agg(F.count("*").alias("held"))
-        main = per_label.groupBy("bucket").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("n_labels")).filter("n_labels > 1").drop("n_labels")
-        named = store.written(named.join(main, "bucket"), "open")
+        named = store.written(several(open_rows, "group"), "open")
         if named.isEmpty():
             break
-        salts = F.ceil(F.col("n") / MEMBERS).cast("int")
-        theirs = named.filter(F.pmod(F.xxhash64("node", "bucket"), F.col("n")) < offered)
-        theirs = theirs.select("bucket", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"), *[F.col(c).alias("its_" + c) for c in ("node", "size", "far", "label")])
-        mine = named.filter("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        per_label = named.groupBy("group", "label").agg(F.count("*").alias("held"))
+        main = per_label.groupBy("group").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.sum("held").alias("n"))
+        by_hash = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
+        theirs = named.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= offered)
+        theirs = theirs.select("group", *[F.col(c).alias("its_" + c) for c in ("node", "size", "place", "label")])
+        mine = named.join(main, "group").filter("label <> main")
+        least = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("its_size")) - 1e-6
+        enough = F.least(F.col("size") - F.col("place"), F.col("its_size") - F.col("its_place")) >= least
         sized = F.least("size", "its_size") >= (SIMILARITY - 1e-9) * F.greatest("size", "its_size")
-        near = F.abs(F.col("far") - F.col("its_far")) <= 1 - SIMILARITY + 1e-9
-        pairs = mine.join(theirs, ["bucket", "salt"]).filter((F.col("label") != F.col("its_label")) & sized & near)
+        pairs = mine.join(theirs, "group").filter((F.col("label") != F.col("its_label")) & sized & enough)
         pairs = pairs.select(F.greatest("node", "its_node").alias("pivot"), F.least("node", "its_node").alias("member")).distinct()
-        pairs = store.written(pairs.join(done, ["pivot", "member"], "left_anti"), "pairs")
-        again = store.written(_verified(pairs, texts), "verified")
+        again = store.written(_verified(pairs.join(done, ["pivot", "member"], "left_anti"), texts), "verified")
         done = done.unionByName(again)
         of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
         found = again.filter(close).join(of("pivot"), "pivot", "left").join(of("member"), "member", "left")
@@ -246,7 +317,7 @@ def _rounds(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFr
             every = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
             joined = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
             labels = store.written(joined.select("node", F.coalesce("least", "label").alias("label")), "labels")
-        open_rows = named.filter(F.col("n") > offered).select("bucket", "node", "size", "n", "far")
+        open_rows = named.join(main.filter(F.col("n") > offered).select("group"), "group").select("node", "size", "group", "place")
         offered *= GROWTH
     links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")
     return links, labels
@@ -272,17 +343,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class with all its columns: the least id's (null ids last), of its texts that of the least digest.
 
     Rows are told apart by id and text, so null and repeated ids are no
-    reason to drop a row.
+    reason to drop a row.  Of rows with one id and one text one is kept, any
+    of them.  Null texts are empty; an empty table gives no rows; extra
+    columns stay, whatever their names.
     """
-    mine = F.sha2(F.coalesce("text", F.lit("")), 256)
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    _, labels, _ = _labelled(docs)
-    rows = store.written(_node_texts(narrow.select("text", "doc_id", F.sha2("text", 256).alias("digest"))).drop("text"), "digests")
-    named = rows.join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
+    signed, labels, _ = _labelled(docs)
+    named = signed.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
     least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     kept = named.groupBy("label").agg(F.min(least).alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept_digest"))
     kept = store.written(kept, "kept")
     own = "_near_dedup_digest"
-    out = docs.withColumn(own, mine).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_digest")), "left_semi")
-    n, distinct = rows.agg(F.count("*"), F.count_distinct(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest"))).first()
-    return (out if n == distinct else out.dropDuplicates(["doc_id", own])).drop(own)
+    mine = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_digest")), "left_semi")
+    again = signed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
+    return (out if again else out.dropDuplicates(["doc_id", own])).drop(own)
