@@ -59,14 +59,15 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join(w)))
     got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     want = true_classes(rows)
-    assert len(got - want) <= 3
+    assert got == want
 
 
 def test_one_document_of_each_class_is_kept(odd, odd_rows):
     kept = near_dedup.one_of_each(odd)
     assert kept.columns == odd.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == [1, 3, 6, 8, 9, 10, 11, 12, 13]  # 6 and 7 differ in a few words only
+    # 6 and 7 differ in a few words only; both texts with id 10 stay, as they are not alike
+    assert ids == [1, 3, 6, 8, 9, 10, 10, 11, 12, 13]
 
 
 def test_signatures_are_unbiased():
@@ -200,3 +201,19 @@ def test_kept_texts_with_null_and_repeated_ids(odd, odd_rows):
     gone = {(2, ""), (4, odd_rows[3][1]), (5, odd_rows[4][1]), (7, odd_rows[6][1]), (None, "")}
     want = {(i, t or "") for i, t in odd_rows} - gone
     assert kept == Counter(want)
+
+
+def test_templated_texts_lose_no_link(spark):
+    """Texts of which most words are one template: pairs of them are links, others are just not."""
+    rng = np.random.default_rng(3)
+    template = [f"t{k}" for k in range(176)]
+    rows = []
+    for k in range(200):
+        own = [f"p{k}x{j}" for j in range(24)]
+        cut = int(rng.integers(10, 150))
+        for extra in range(2):
+            w = [*template[:cut], *own, *template[cut:]]
+            w[int(rng.integers(200))] = f"e{k}x{extra}"
+            rows.append((2 * k + extra, " ".join(w)))
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == true_classes(rows)

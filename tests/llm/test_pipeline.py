@@ -5,7 +5,7 @@ from lodestone.llm import decontamination, near_dedup, suffix_dedup, toxicity
 def test_stages_are_the_operators_one_after_another(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
-    rejected = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("score >= 0.5").collect()}
+    rejected = {r.doc_id for r in toxicity.toxicity(docs, labels).filter("predicted = 1").collect()}
     (_, a), (_, b), (_, c), (_, d), (_, e) = corpus_pipeline.STAGES
     one = a(spark, docs, sf)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {r.doc_id for r in docs.collect()} - rejected
