@@ -31,11 +31,11 @@ ITEMS, ITEM_BYTES = 20_000, 16 << 20
 #: Steps of the windows, longest first; an item takes the longest that its words allow (``steps_of``).
 STEPS = (24, 16, 12, 8, 6, 4, 3, 2, 1)
 #: Random walks, and tables of sampled steps of each.
-WALKS, TABLES = 4, 4
+WALKS, TABLES = 6, 4
 #: Bits of a key that a table's filter looks at.
 BITS = 18
 #: Word places that are looked at at once.
-PLACES = 1 << 16
+PLACES = 1 << 15
 
 
 def steps_of(n: int) -> int:
@@ -53,23 +53,27 @@ def plan() -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def walk(words: np.ndarray, starts: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """What the walk with multipliers ``odd`` puts out at each step, for windows from ``starts``; one row a step."""
+    """What the walk with multipliers ``odd`` puts out at each step, for windows from ``starts``; one row a step.
+
+    A walk that comes to the last word stays there.
+    """
     out = np.empty((len(odd), len(starts)), np.uint64)
-    at = starts.copy()
-    last = len(words) - 1
+    at, bit = starts.copy(), np.empty(len(starts), np.uint64)
     for j, factor in enumerate(odd):
-        here = words[np.minimum(at, last)]
-        out[j] = here
-        at += ((here * factor) >> np.uint64(63)).view(np.int64)
+        np.take(words, at, out=out[j], mode="clip")
+        np.multiply(out[j], factor, out=bit)
+        np.right_shift(bit, np.uint64(63), out=bit)
+        np.add(at, bit.view(np.int64), out=at)
     return out
 
 
 def keys_of(out: np.ndarray, sampled: np.ndarray) -> np.ndarray:
     """One key for each window from the steps that a table samples."""
-    key = np.zeros(out.shape[1], np.uint64)
-    for j in sampled:
-        key = key * np.uint64(0xD6E8FEB86659FD93) + out[j]
-    return key ^ key >> np.uint64(29)
+    key = out[sampled[0]] * np.uint64(0x9E3779B97F4A7C15)
+    for j in sampled[1:]:
+        np.multiply(key, np.uint64(0xD6E8FEB86659FD93), out=key)
+        np.add(key, out[j], out=key)
+    return key
 
 
 def infix_distance(item: np.ndarray, doc: np.ndarray) -> int:
@@ -88,12 +92,12 @@ class Index:
     """Windows of the items by their sampled steps; looks for items in documents."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        assert len(items) < 1 << 15
         raw, offsets = bytescan.buffer(pa.array([t or "" for _, t in items], pa.string()))
         found = bytescan.words(raw, offsets)
         self.ids = [i for i, _ in items]
         self.words = [found.of(k) for k in range(len(items))]
         self.spelled = [_spelled(raw, found, found.first[k], found.first[k + 1]) for k in range(len(items))]
-        self.sorted = [np.sort(ws) for ws in self.words]
         self.odd, sampled = plan()
         by_steps: dict[int, list[tuple[int, int, int]]] = {}
         for k, ws in enumerate(self.words):
@@ -111,30 +115,66 @@ class Index:
                     keys = keys_of(out, steps)
                     order = np.argsort(keys, kind="stable")
                     bits = np.zeros(1 << BITS, bool)
-                    bits[(keys & np.uint64((1 << BITS) - 1)).view(np.int64)] = True
+                    bits[(keys >> np.uint64(64 - BITS)).view(np.int64)] = True
                     tables.append((steps, keys[order], of[order, 1:], bits))
             self.walks.append((max(by_steps, default=0), tables))
 
-    def _candidates(self, ws: np.ndarray) -> np.ndarray:
-        """``(first word, item, window)`` of windows that agree with an item's; the first word is where the item would begin."""
-        low = np.uint64((1 << BITS) - 1)
-        got = [np.zeros((0, 3), np.int64)]
+    def _candidates(self, ws: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct ``(item, text, begin)``, in order, of windows that agree with an item's: where in which text it would begin.
+
+        Each is one number while they are gathered: 15 bits, 20 and 28.
+        """
+        high = np.uint64(64 - BITS)
+        got = [np.zeros(0, np.int64)]
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 28
         for a in range(0, len(ws), PLACES):
             starts = np.arange(a, min(a + PLACES, len(ws)))
             for w, (n, tables) in enumerate(self.walks):
                 out = walk(ws, starts, self.odd[w, :n])
                 for steps, keys, of, bits in tables:
                     mine = keys_of(out, steps)
-                    likely = np.flatnonzero(bits[(mine & low).view(np.int64)])
+                    likely = np.flatnonzero(bits[(mine >> high).view(np.int64)])
                     lo, hi = np.searchsorted(keys, mine[likely], "left"), np.searchsorted(keys, mine[likely], "right")
                     n_hits = hi - lo
                     if n_hits.any():
                         which = np.repeat(lo - (np.cumsum(n_hits) - n_hits), n_hits) + np.arange(n_hits.sum())
                         # where the window begins, less the word of the item at which the item's window begins
                         window = np.repeat(likely + a, n_hits)
-                        got.append(np.stack([window - of[which, 1], of[which, 0], window], 1))
-            got = [np.unique(np.concatenate(got), axis=0)]
-        return got[0]
+                        got.append((of[which, 0] << 48) + text[window] + (window - of[which, 1] + (1 << 20)))
+        key = np.unique(np.concatenate(got))
+        return np.stack([key >> 48, key >> 28 & (1 << 20) - 1, (key & (1 << 28) - 1) - (1 << 20)], 1)
+
+    def _stretches(self, ws: np.ndarray, first: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(text, item, begin, a, b)``: words ``a`` to ``b`` of a text that hold enough of an item's words.
+
+        Each word of the item that a stretch lacks is an edit.  Words are told
+        apart by a few bits here, so a stretch may seem to hold more than it
+        does, never less.
+        """
+        few = (ws & np.uint64(4095)).astype(np.int16)
+        cuts = np.flatnonzero(np.diff(rows[:, 0], prepend=-1, append=-1))
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            item = int(rows[x, 0])
+            words = self.words[item]
+            n, most = len(words), int(DISTANCE * len(words))
+            text, begin = rows[x:y, 1], rows[x:y, 2]
+            held = np.zeros(4097, bool)
+            held[(words & np.uint64(4095)).view(np.int64)] = True
+            lo, hi = np.maximum(first[text], begin - most), np.minimum(first[text + 1], begin + n + most)
+            for at in range(0, y - x, 4096):
+                s = slice(at, at + 4096)
+                place = lo[s, None] + np.arange(n + 2 * most)
+                inside = place < hi[s, None]
+                seen = held[few[np.minimum(place, len(ws) - 1)]] & inside
+                good = np.flatnonzero(seen.sum(1) >= n - most) + at
+                # stretches of one text that overlap are looked at together
+                k = 0
+                while k < len(good):
+                    j = k
+                    while j + 1 < len(good) and text[good[j + 1]] == text[good[k]] and begin[good[j + 1]] - begin[good[j]] <= most:
+                        j += 1
+                    yield int(text[good[k]]), item, int(begin[good[k]]), int(lo[good[k]]), int(hi[good[j]])
+                    k = j + 1
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """``(text, item, distance, word)`` of the best match of each text and item."""
@@ -142,26 +182,14 @@ class Index:
         ws = found.hashes
         if not len(ws):
             return
-        rows = self._candidates(ws)
-        if not len(rows):
-            return
-        text = np.searchsorted(found.first, rows[:, 2], "right") - 1
+        rows = self._candidates(ws, found.first)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for k, item, begin in np.unique(np.stack([text, rows[:, 1], rows[:, 0]], 1), axis=0).tolist():
+        for k, item, begin, a, b in self._stretches(ws, found.first, rows):
             have = best.get((k, item))
             if have and have[0] == 0:
                 continue
-            words = self.words[item]
-            most = int(DISTANCE * len(words))
-            a = max(int(found.first[k]), begin - most)
-            b = min(int(found.first[k + 1]), begin + len(words) + most)
-            # each word of the item that the stretch lacks is an edit
-            mine, near = self.sorted[item], ws[a:b]
-            near = near[mine[np.minimum(np.searchsorted(mine, near), len(mine) - 1)] == near]
-            if len(near) < len(words) - most:
-                continue
-            d = infix_distance(words, ws[a:b])
-            if d <= most and (have is None or d < have[0]):
+            d = infix_distance(self.words[item], ws[a:b])
+            if d <= int(DISTANCE * len(self.words[item])) and (have is None or d < have[0]):
                 best[(k, item)] = (d, max(0, begin - int(found.first[k])), a, b)
         for (k, item), (_, word, a, b) in best.items():
             # hashes have said where to look; the words themselves decide
