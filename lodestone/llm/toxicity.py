@@ -1,9 +1,11 @@
 """Toxicity scores: gradient-boosted trees over dense features, isotonic calibration.
 
-A lexicon of words and word beginnings is learned on one part of a bounded
-sample of labelled rows, the trees on a second and the calibration on a
-third.  The model is a few thousand numbers, trained on the driver; documents
-are scored where they are, whole.
+A lexicon of words and word beginnings, the trees and the calibration are
+learned on a bounded sample of labelled rows by cross-fitting: a row's
+features come from a lexicon that its own fold had no part in, and the
+calibration sees scores of trees that were not fitted on the row.  The model
+is a few thousand numbers, trained on the driver; documents are scored where
+they are, whole.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lodestone.llm import store
 
 #: Labelled rows that are learned from at most, those with the least hash of their id.
 SAMPLE = 24_000
+#: Parts of the sample that take turns in being left out.
+FOLDS = 3
 #: Entries of the lexicon at most, and documents that must hold one.
 LEXICON, LEAST_DOCS = 4000, 4
 #: Word beginnings that the lexicon may hold.
@@ -206,58 +210,76 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _lexicon(best: list) -> Model:
+    """A model with nothing but the lexicon of ``(form, odds)`` rows."""
+    table = {r["form"]: float(r["odds"]) for r in best}
+    begins = [(k, {f[:-1]: o for f, o in table.items() if f.endswith("*") and len(f) == k + 1}) for k in BEGINNINGS]
+    return Model({f: o for f, o in table.items() if not f.endswith("*")}, [b for b in begins if b[1]], None, np.zeros(0), np.zeros(0))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled documents that are not held out.
 
-    The sample is written to the shared folder once.  A third of it (by hash)
-    gives the lexicon, of which the driver gets at most ``LEXICON`` entries;
-    the features of the rest, at most ``sample`` rows of numbers, go to the
-    driver.  Labels that are null are not used; of several for one id the
-    largest counts.
+    The sample, one text for each labelled id (of several the least), is
+    written to the shared folder once.  The driver gets at most ``LEXICON``
+    entries of each of ``FOLDS + 1`` lexicons and a row of numbers for each
+    row of the sample.  Labels that are null are not used; of several for one
+    id the largest counts.  Without labels of both kinds the score is the
+    share of toxic ones.
     """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.filter(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)).alias("part")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    rows = store.written(texts.select("toxic", part, "text"), "toxic-sample")
-    size = rows.groupBy("part").agg(F.count("*"), F.sum("toxic")).collect()
-    n = {r[0]: (r[1], int(r[2])) for r in size}
-    total, bad = sum(a for a, _ in n.values()), sum(b for _, b in n.values())
-    if total < 30 or not bad or bad == total:
+    rows = texts.groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    fold = F.pmod(F.xxhash64("label_id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = store.written(rows.select("label_id", "toxic", fold, "text"), "toxic-sample")
+    sizes = {r[0]: (r[1], int(r[2])) for r in rows.groupBy("fold").agg(F.count("*"), F.sum("toxic")).collect()}
+    total, bad = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values())
+    if not bad or bad == total:
         return Model({}, [], None, np.zeros(0), np.zeros(0), bad / total if total else 0.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, toxic = Counter(), Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {f for w in set(_WORD.findall(text.lower())) for f in forms(w)}
+            for y, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen = {(f, k) for w in set(_WORD.findall(text.lower())) for f in forms(w)}
                 every.update(seen)
                 if y:
                     toxic.update(seen)
             keep = list(every)
-            yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array([toxic[k] for k in keep], pa.int64()), pa.array([every[k] for k in keep], pa.int64())], ["form", "toxic", "n"])
-
-    counts = rows.filter("part = 0").select("toxic", "text").mapInArrow(count, "form string, toxic bigint, n bigint").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    clean0, bad0 = n.get(0, (0, 0))[0] - n.get(0, (0, 0))[1], n.get(0, (0, 0))[1]
-    odds = F.log((F.col("toxic") + 0.5) / (bad0 + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (clean0 + 1))
-    best = counts.filter(F.col("n") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "form").limit(LEXICON).collect()
-    table = {r["form"]: float(r["odds"]) for r in best}
-    begins = [(k, {f[:-1]: o for f, o in table.items() if f.endswith("*") and len(f) == k + 1}) for k in BEGINNINGS]
-    model = Model({f: o for f, o in table.items() if not f.endswith("*")}, [b for b in begins if b[1]], None, np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keep]), pa.array([k for _, k in keep], pa.int32()), pa.array([toxic[k] for k in keep], pa.int64()), pa.array([every[k] for k in keep], pa.int64())], ["form", "fold", "toxic", "n"])
+
+    counts = rows.select("toxic", "fold", "text").mapInArrow(count, "form string, fold int, toxic bigint, n bigint").groupBy("form")
+    left_out = range(FOLDS + 1)  # the last leaves out none
+    part = lambda c, k: F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counts = store.written(counts.agg(*[part(c, k) for k in left_out for c in ("toxic", "n")]).filter(F.col(f"n{FOLDS}") >= LEAST_DOCS), "toxic-counts")
+    lexicons = []
+    for k in left_out:
+        n_bad = bad - sizes.get(k, (0, 0))[1]
+        n_clean = total - sizes.get(k, (0, 0))[0] - n_bad
+        toxic, n = F.col(f"toxic{k}"), F.col(f"n{k}")
+        odds = F.log((toxic + 0.5) / (n_bad + 1)) - F.log((n - toxic + 0.5) / (n_clean + 1))
+        best = counts.filter(n >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
+        lexicons.append(_lexicon(best.select("form", "odds").orderBy(F.desc("odds"), "form").limit(LEXICON).collect()))
+    model = lexicons[FOLDS]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = model.matrix(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "part", "x"])
-
-    got = rows.filter("part <> 0").select("toxic", "part", "text").mapInArrow(measure, "toxic int, part bigint, x array<double>").orderBy("x", "toxic").collect()
-    x, y, second = np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([float(r["toxic"] > 0) for r in got]), np.array([r["part"] == 2 for r in got])
-    if len(set(y[~second])) < 2 or not second.any():
-        model.constant = bad / total
-        return model
-    model.trees = Trees().fit(x[~second], y[~second])
-    model.knots, model.values = isotonic(model.trees.raw(x[second]), y[second])
+            x = [features(t, lexicons[k].lexicon, lexicons[k].begins) for k, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(x, pa.list_(pa.float64()))], ["label_id", "toxic", "fold", "x"])
+
+    got = rows.mapInArrow(measure, StructType([*rows.schema.fields[:3], StructField("x", ArrayType(DoubleType()))])).toArrow()
+    got = got.take(np.argsort(got["label_id"].to_numpy(), kind="stable"))
+    x = np.array(got["x"].to_pylist(), float).reshape(len(got), -1)
+    y, fold_of = (got["toxic"].to_numpy() > 0).astype(float), got["fold"].to_numpy()
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        own = fold_of == k
+        if own.any() and not own.all():
+            raw[own] = Trees().fit(x[~own], y[~own]).raw(x[own])
+    model.trees = Trees().fit(x, y)
+    model.knots, model.values = isotonic(raw, y)
     return model
 
 
@@ -288,5 +310,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """Documents that ``toxicity`` doesn't predict toxic, with all their columns."""
+    """Documents that ``toxicity`` doesn't predict toxic, with all their columns.
+
+    Null texts, null ids, repeated rows and empty tables are as in
+    ``toxicity``; extra columns stay, whatever their names.
+    """
     return _scored(docs, train(docs, labels)).filter(F.col(SCORE) < cut).drop(SCORE)
