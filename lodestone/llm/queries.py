@@ -48,11 +48,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op2_sql() -> str:
-    """Brute force: every line against every notice."""
+    """Brute force: every block against every notice."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = f"regexp_extract_all({low}, '{word}')"
-    notices = ", ".join(f"('{label}', {licenses.notice_words(text)!r})" for label, text in licenses.NOTICES)
+    notices = ", ".join(f"('{label}', {licenses.notice_block(text)}, {licenses.notice_words(text)!r})" for label, text in licenses.NOTICES)
     phrases = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, i AS pos FROM w, unnest(range(len(ws))) r(i) WHERE "
         + " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
@@ -63,9 +63,9 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, {split.format("text")} AS ws FROM d),
 b AS ({phrases}),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS ls FROM b GROUP BY doc_id),
-n(label, ns) AS (VALUES {notices}),
-l AS (SELECT doc_id, {split.format("line")} AS ls FROM d, unnest(string_split(text, chr(10))) u(line)),
-h AS (SELECT doc_id, label, len(list_intersect(ns, ls)) / len(ns) AS share FROM l, n
+n(label, half, ns) AS (VALUES {notices}),
+l AS (SELECT doc_id, half, list_distinct(ws[k * half + 1 : k * half + 2 * half]) AS ls FROM w, (SELECT DISTINCT half FROM n) s, unnest(range(0, 1 + (len(ws) - 1) // half)) u(k)),
+h AS (SELECT doc_id, label, len(list_intersect(ns, ls)) / len(ns) AS share FROM l JOIN n USING (half)
       WHERE len(list_intersect(ns, ls)) >= ceil({licenses.THRESHOLD} * len(ns) - 1e-9)),
 m AS (SELECT doc_id, list(DISTINCT label) AS ls, max(share) AS best FROM h GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.lo AS first_word, base.hi AS last_word,

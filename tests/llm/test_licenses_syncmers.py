@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from lodestone.llm import licenses, queries, syncmers
 
@@ -27,6 +28,21 @@ def test_places_of_phrases(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.score) == (15, 3, 1, 12, "cc-by-nc,mit", 1.0)
 
 
+def test_wrapped_and_scattered_notices(spark):
+    mit = "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy of\n# this software and associated\n# documentation files"
+    filler = " ".join(f"f{k}" for k in range(40))
+    rows = [
+        (1, f"{filler}\n{mit}\n{filler}"),
+        (2, "This program is free software: you can redistribute\nit and/or modify it under the terms of\nthe GNU General Public License"),
+        (3, "x\n".join(["Redistribution and use in source and binary forms,", " with or without modification, are permitted", " provided that the following conditions\nare met"])),
+        (4, filler.join([" released ", " under ", " the ", " mit ", " license "])),
+        (5, licenses.NOTICES[2][1].replace(", ", ",\n")),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {k: r.labels for k, r in got.items()} == {1: "mit", 2: "gpl", 3: "bsd", 4: "", 5: "mit"}
+    assert got[1].score == got[2].score == got[5].score == 1.0 and got[4].score == 0.0
+
+
 def test_edited_texts_and_order(odd, odd_rows, empty):
     got = syncmers.fingerprints(odd).collect()
     rows = [(i, t or "") for i, t in odd_rows]
@@ -65,3 +81,26 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
     h = [r.h for r in sorted(inner)]
     want = [i for i in range(len(words) - k + 1) if min(h[i : i + k - s + 1]) in (h[i], h[i + k - s])]
     assert [a.pos for a in plain] == want
+
+
+def test_every_anchor_counts_and_places_matter(spark):
+    words = [f"w{k}" for k in range(6000)]
+    changed = [*words[:3000], *[f"x{k}" for k in range(100)], *words[3100:]]
+    moved = [*words[3000:], *words[:3000]]
+    shifted = ["new", "words", *words]
+    texts = [" ".join(w) for w in (words, changed, moved, shifted)]
+    frame = spark.createDataFrame([tuple(texts)], "a string, b string, c string, d string")
+    near = lambda x: syncmers.likeness(syncmers.marks(frame.a), syncmers.marks(frame[x]))
+    r = frame.select(near("a"), near("b"), near("c"), near("d"), F.size(syncmers.marks(frame.a)), F.length(syncmers.as_string(syncmers.marks(frame.a)))).first()
+    assert r[0] == 1.0 and 0.96 < r[1] < 0.995 and r[2] < 0.01 and 0.99 < r[3] < 1
+    assert r[4] > 3000 and r[5] == 11 * r[4]
+
+
+def test_fingerprints_of_far_ids(spark):
+    rows = [(k, f"text number {k} of some") for k in range(3000)] + [(10**15, "a far one"), (-(10**15), None)]
+    got = {r.doc_id: r.edited_sha256 for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 3
+        assert got[i] == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
