@@ -49,6 +49,11 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _amount(x: float | None) -> float:
+    """A size as given; 0 if it is null, negative or no finite number."""
+    return x if x is not None and math.isfinite(x) and x > 0 else 0
+
+
 class PartVisitor:
     """Flattens parts of one turn in order; one method for each type."""
 
@@ -64,16 +69,16 @@ class PartVisitor:
 
     def visit_image(self, part: dict) -> None:
         """A token for each started tile of 28 by 28 pixels, and two for the edges."""
-        tiles = math.ceil((part.get("width") or 0) / 28) * math.ceil((part.get("height") or 0) / 28)
+        tiles = math.ceil(_amount(part.get("width")) / 28) * math.ceil(_amount(part.get("height")) / 28)
         self._attach("image", part, tiles + 2)
 
     def visit_audio(self, part: dict) -> None:
         """25 tokens a second, and two for the edges."""
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0) * 25) + 2)
+        self._attach("audio", part, math.ceil(_amount(part.get("seconds")) * 25) + 2)
 
     def visit_document(self, part: dict) -> None:
         """1024 tokens a page, and two for the edges."""
-        self._attach("document", part, (part.get("pages") or 0) * 1024 + 2)
+        self._attach("document", part, _amount(part.get("pages")) * 1024 + 2)
 
     def visit_other(self, part: dict) -> None:
         self._attach("other", part, 1)
@@ -106,14 +111,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
     A conversation is streamed in order through one task that holds one
     batch, however long it is, since digests and offsets of a text run from
     its start.  Null texts are empty, null roles are empty strings, rows with
-    equal ``turn`` stand in order of role and text, null turns first.
+    equal ``turn`` stand in order of role, text and parts, null turns first.
+    Sizes of parts that are null, negative or not finite count as 0.
     Repeated rows are repeated turns.  Rows with a null ``conv_id`` are one
     conversation.  Clashing extra columns are not read.
     """
     parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else F.lit(None).cast(PARTS)
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in turns.columns else F.lit("")
     narrow = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), parts.alias("parts"))
-    ordered = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text", F.to_json("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
