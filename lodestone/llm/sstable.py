@@ -196,66 +196,51 @@ def _open(uri: str):
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
     """Tokenize ``docs`` and write them in ascending ``doc_id`` order; (file, rows, ids) per shard, in order.
 
-    Ranges of identifiers are cut by their bytes of text, then one shuffle
-    brings each range to the task that sorts and writes it, entry by entry.
-    Null texts are empty (only the end id); a null id sorts first; rows with
-    the same id are all kept, in order of their texts.
+    Ranges of rows are cut at quantiles of ``doc_id`` and the text's first
+    characters, which Spark samples, so neither far identifiers nor one that
+    many rows share make a shard large.  One shuffle brings each range to the
+    task that sorts and writes it, entry by entry.  Null texts are empty (only
+    the end id); a null id sorts first; rows with the same id are all kept, in
+    order of their texts.
     """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high = narrow.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    step = max(1, -(-(high - low + 1) // MAX_SHARDS))
-    place = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) div {step} as int)"), F.lit(-1))
-    sizes = narrow.groupBy(place.alias("place")).agg(F.sum(F.octet_length("text")).alias("size")).orderBy("place").collect()
-    most = max(shard_bytes, sum(r["size"] for r in sizes) // MAX_SHARDS)
-    shard, size, of = -1, most, []
-    for r in sizes:
-        if size + r["size"] > most:
-            shard, size = shard + 1, 0
-        size += r["size"]
-        of.append((r["place"], shard))
-    if not of:
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
         return []
-    ranges = spark.createDataFrame(of, "place int, shard int")  # at most MAX_SHARDS + 1 rows
-    dealt = (
-        narrow.withColumn("place", place)
-        .join(F.broadcast(ranges), "place")
-        .select("shard", "doc_id", "text")
-        .repartitionById(shard + 1, F.col("shard"))
-        .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
-    )
+    shards = min(MAX_SHARDS, size // shard_bytes + 1)
+    by = F.asc_nulls_first("doc_id")
+    dealt = docs.repartitionByRange(shards, by, F.substring("text", 1, 64)).sortWithinPartitions(by, "text")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId()
         encode = tokens.encoder(path)
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         writer = out = name = None
         done = []
-        shard = None
-
-        def finish():
-            writer.close()
-            out.close()
-            final = f"{root}/shard-{shard:06d}.sst"
-            system.move(name, final)
-            done.append((shard, final, writer.rows, writer.ids))
-
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = encode.batch(part.column(2).to_pylist())
-                for k, doc_id, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids, strict=True):
-                    if k != shard:
-                        if writer is not None:
-                            finish()
-                        shard, name = k, f"{root}/.{uuid.uuid4().hex}"
+                ids = encode.batch(part.column(1).to_pylist())
+                for doc_id, value in zip(part.column(0).to_pylist(), ids, strict=True):
+                    if writer is None:
+                        name = f"{root}/.{uuid.uuid4().hex}"
                         out = system.open_output_stream(name)
                         writer = Writer(out)
                     writer.add(key_bytes(doc_id), value + end)
         if writer is not None:
-            finish()
+            writer.close()
+            out.close()
+            final = f"{root}/shard-{shard:06d}.sst"
+            if system.get_file_info(final).type == fs.FileType.NotFound:
+                system.move(name, final)
+            else:  # another attempt of this task was done first
+                system.delete_file(name)
+            done.append((shard, final, writer.rows, writer.ids))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
             ["shard", "file", "n_rows", "n_ids"],
