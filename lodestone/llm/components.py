@@ -28,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         nxt = store.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         mark = nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        store.forget(edges)
         edges = nxt
         if mark == seen:
             break

@@ -290,9 +290,11 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
 
     in_open = store.written(several(rows.select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
     open_rows = store.written(_prefixes(texts.join(in_open, "node", "left_semi")), "prefixes")
-    offered = OFFERED
+    offered, last = OFFERED, open_rows
     while True:
         named = store.written(several(open_rows, "group"), "open")
+        store.forget(last)
+        last = named
         if named.isEmpty():
             break
         per_label = named.groupBy("group", "label").agg(F.count("*").alias("held"))
@@ -316,7 +318,10 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
             # nodes new to all links come in under their own name
             every = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
             joined = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
-            labels = store.written(joined.select("node", F.coalesce("least", "label").alias("label")), "labels")
+            joined = store.written(joined.select("node", F.coalesce("least", "label").alias("label")), "labels")
+            store.forget(labels)
+            labels = joined
+        store.forget(merged)
         open_rows = named.join(main.filter(F.col("n") > offered).select("group"), "group").select("node", "size", "group", "place")
         offered *= GROWTH
     links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")

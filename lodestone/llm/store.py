@@ -1,7 +1,7 @@
 """Tables and files in the folder that the whole cluster shares.
 
-The folder comes from ``spark.checkpoint.dir``.  Only a session that names
-none (tests) gets one of our own.  Everything that cuts lineage is written
+The folder comes from ``spark.checkpoint.dir``.  Only a local session that
+names none (tests, the bench) gets one of our own.  Everything that cuts lineage is written
 there, so a lost executor never loses the only copy of an intermediate result.
 """
 
@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder named by the session, or of a new one where none is named."""
+    """URI of the shared folder named by the session; a local session that names none gets a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         jvm_dir = spark.sparkContext.getCheckpointDir()
         named = os.path.dirname(jvm_dir) if jvm_dir else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         named = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -36,7 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lodestone_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and no plan needs any more."""
+    drop(df.sparkSession, df.lodestone_path)
 
 
 def drop(spark: SparkSession, uri: str) -> None:
