@@ -2,6 +2,11 @@
 
 A run writes each stage's result as Parquet and hands the reread table to the
 next.  All stages but the last return the columns of ``documents``.
+
+Each stage works on all that the one before kept.  Null texts are empty, null
+and repeated ids drop nothing, of rows with the same id and text one stays
+after the second stage, extra columns with any names are carried along, and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
-    return packing.pack(docs, tokens.default_path(WORD_VOCABULARY), END_ID, with_ids=False)
+    """Pieces of packed sequences with their token ids."""
+    return packing.pack(docs, tokens.default_path(WORD_VOCABULARY), END_ID)
 
 
 STAGES = [
