@@ -29,9 +29,9 @@ DISTANCE, RECALL = 0.2, 0.98
 #: Items, and bytes of them, that one pass takes; a larger benchmark is taken in blocks.
 ITEMS, ITEM_BYTES = 20_000, 16 << 20
 #: Steps of the windows, longest first; an item takes the longest that its words allow (``steps_of``).
-STEPS = (24, 16, 12, 8, 6, 4, 3, 2, 1)
+STEPS = (16, 8, 4, 3, 2, 1)
 #: Random walks, and tables of sampled steps of each.
-WALKS, TABLES = 6, 4
+WALKS, TABLES = 6, 3
 #: Bits of a key that a table's filter looks at.
 BITS = 18
 #: Word places that are looked at at once.
@@ -48,7 +48,7 @@ def plan() -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Multipliers that decide each step of each walk, and the steps that each table of each length samples."""
     rng = np.random.default_rng(11)
     odd = rng.integers(0, 1 << 63, (WALKS, STEPS[0]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    sampled = {s: np.array([[np.sort(rng.choice(s, min(s, 3 + s // 8), replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]) for s in STEPS}
+    sampled = {s: np.array([[np.sort(rng.choice(s, min(s, 4 + s // 8), replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]) for s in STEPS}
     return odd, sampled
 
 
