@@ -85,7 +85,7 @@ def _places(ws: Column, phrase: str) -> Column:
 def _read(docs: DataFrame, notices, threshold: float) -> DataFrame:
     """Phrase places and notice words of each text, from its words, which are cut once.
 
-    Texts that hold enough words of some notice keep their words.
+    Texts that hold enough words of some notice are kept as candidates.
     """
     none = F.array().cast("array<int>")
     out = docs.withColumn("words", words(F.col("text")))
@@ -110,7 +110,7 @@ def _read(docs: DataFrame, notices, threshold: float) -> DataFrame:
         F.array_max(every).cast("bigint").alias("last_word"),
         F.sort_array(F.array_distinct(labels)).alias("base"),
         "held",
-        F.when(enough, F.col("words")).alias("words"),
+        F.when(enough, F.col("text")).alias("candidate"),
     )
 
 
@@ -149,10 +149,15 @@ def notice_matches(read: DataFrame, notices=NOTICES, threshold: float = THRESHOL
     table = spark.createDataFrame(rows, "notice int, label string, half int, word string, at int, need int, notice_words array<string>")
     halves = F.array(*[F.struct(F.lit(h).alias("half"), F.lit(n).alias("least")) for h, n in sorted(least.items())])
     ordered = F.array(*map(F.lit, order))
-    by_half = read.filter("words is not null").select("doc_id", "mark", "words", F.explode(halves).alias("h")).select("doc_id", "mark", "words", "h.half", "h.least")
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.col("half"))
-    blocks = by_half.select("doc_id", "mark", "half", "least", F.posexplode(F.transform(starts, lambda i: F.array_intersect(ordered, F.slice("words", i + 1, 2 * F.col("half"))))).alias("block", "held"))
-    held = blocks.filter(F.size("held") >= F.col("least"))
+
+    def blocks(ws: Column, h: Column) -> Column:
+        """Blocks of one length that hold enough notice words for some notice; all others are dropped where they are."""
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), h["half"])
+        every = F.transform(starts, lambda i, k: F.struct(h["half"], h["least"], k.alias("block"), F.array_intersect(ordered, F.slice(ws, i + 1, 2 * h["half"])).alias("held")))
+        return F.filter(every, lambda x: F.size(x["held"]) >= h["least"])
+
+    cut = F.get(F.transform(F.array(words(F.col("candidate"))), lambda ws: F.flatten(F.transform(halves, lambda h: blocks(ws, h)))), F.lit(0))
+    held = read.filter("candidate is not null").select("doc_id", "mark", F.explode(cut).alias("x")).select("doc_id", "mark", "x.*")
     prefix = held.select("*", F.posexplode(F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1)).alias("place", "word"))
     after_block = F.size("held") - F.col("place") - 1
     after_notice = F.size("notice_words") - F.col("at") - 1
@@ -178,7 +183,7 @@ def license_scan(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD)
     read = store.written(_read(narrow, notices, threshold), "licenses")
     hits = notice_matches(read, notices, threshold).groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "more", "best")
-    joined = read.drop("held", "words").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
+    joined = read.drop("held", "candidate").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
     none = F.array().cast("array<string>")
     return joined.select(
         "doc_id",
