@@ -49,3 +49,49 @@ def unresolved(links: DataFrame, targets: DataFrame, keys: list[str]) -> DataFra
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+#: Words of the piece by which an item is looked for, and items that one pass takes.
+PIECE, ITEMS = 4, 20_000
+
+
+def holders(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """``question_id, chunk_id`` of the chunks (``chunk_id, text``) that hold an item's whole text, character for character.
+
+    Each item gives a run of ``PIECE`` words from its inside; runs of a chunk
+    are intersected with those of a block of items where the chunk is, and
+    only chunks that share one are compared with the items that gave it.
+    Items too short for such a run are compared with every chunk; they are
+    taken in blocks like all others.  Empty items and nulls match nothing.
+    """
+    spark = chunks.sparkSession
+    rows = items.select("question_id", "text").filter("text <> ''")
+    words = F.split("text", " ")
+    rows = rows.withColumn("piece", F.when(F.size(words) >= PIECE + 2, F.array_join(F.slice(words, 2, PIECE), " ")))
+    out, block = None, []
+
+    def found(block: list) -> DataFrame:
+        table = spark.createDataFrame(block, "question_id bigint, item string, piece string")
+        pieces = sorted({p for _, _, p in block if p is not None})
+        cut = F.split("text", " ")
+        at = F.when(F.size(cut) >= PIECE, F.sequence(F.lit(0), F.size(cut) - PIECE)).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(at, lambda k: F.array_join(F.slice(cut, k + 1, PIECE), " "))
+        known = F.lit(pieces) if pieces else F.array().cast("array<string>")
+        near = chunks.select("chunk_id", "text", F.explode(F.array_intersect(runs, known)).alias("piece")).join(F.broadcast(table), "piece")
+        near = near.filter(F.contains("text", "item")).select("question_id", "chunk_id")
+        short = [r for r in block if r[2] is None]
+        if short:
+            few = F.array(*[F.struct(F.lit(i).cast("bigint").alias("question_id"), F.lit(t).alias("item")) for i, t, _ in short])
+            hits = chunks.select("chunk_id", F.explode(F.filter(few, lambda x: F.contains(F.col("text"), x["item"]))).alias("x")).select("x.question_id", "chunk_id")
+            near = near.unionByName(hits)
+        return near
+
+    for r in rows.orderBy("question_id").toLocalIterator():
+        block.append((r["question_id"], r["text"], r["piece"]))
+        if len(block) == ITEMS:
+            out = found(block) if out is None else out.unionByName(found(block))
+            block = []
+    if block or out is None:
+        last = found(block) if block else chunks.select(F.lit(None).cast("bigint").alias("question_id"), "chunk_id").filter("false")
+        out = last if out is None else out.unionByName(last)
+    return out.distinct()

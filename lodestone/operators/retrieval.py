@@ -35,31 +35,60 @@ def postings(chunks: DataFrame) -> DataFrame:
     return document_tokens(chunks).select("chunk_id", "dl", F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = DEPTH, k1: float = K1, b: float = B) -> DataFrame:
-    """``question_id, chunk_id, score, rank``; repeated question tokens count each time.
+#: Distinct words of the questions that one pass looks for; they are broadcast, so their number is checked.
+VOCABULARY = 200_000
 
-    Only question tokens are joined to the corpus, before any counting, so the
-    shuffle carries one row per document and question token.
-    """
-    asked = questions.select("question_id", F.explode(T.tokenize("text")).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times"))
-    docs = document_tokens(chunks)
-    size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = docs.select("chunk_id", "dl", F.explode("tokens").alias("token")).join(asked.select("token").distinct(), "token").groupBy("chunk_id", "token", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weight = hits.join(df, "token").join(F.broadcast(size)).select(
+
+def _question_tokens(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.explode(T.tokenize("text")).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times"))
+
+
+def _scored(asked: DataFrame, hits: DataFrame, size: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Scores from ``token, chunk_id, tf, dl, df``; what is shown has six places, ranks look at nine."""
+    weight = hits.join(F.broadcast(size)).select(
         "token", "chunk_id",
         (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("part"),
     )
-    scored = asked.join(weight, "token").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
-    return ranked(scored, k)
+    # sums differ in the last places by the order of their parts: ties are those to so many places
+    scored = asked.join(weight, "token").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 9).alias("score"))
+    return ranked(scored, k).withColumn("score", F.round("score", 6))
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = DEPTH, k1: float = K1, b: float = B) -> DataFrame:
+    """``question_id, chunk_id, score, rank`` straight from texts; repeated question tokens count each time.
+
+    Each text is cut once: an empty word stands for each document, so one
+    shuffle of (document, question word) counts gives frequencies, lengths and
+    their mean, and the plan reuses it.  The questions' vocabulary is
+    broadcast while it is small.
+    """
+    asked = _question_tokens(questions)
+    words = asked.select("token").unionByName(questions.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    if words.limit(VOCABULARY + 1).count() <= VOCABULARY:
+        words = F.broadcast(words)
+    rows = document_tokens(chunks).select("chunk_id", "dl", F.explode(F.array_append("tokens", F.lit(""))).alias("token")).join(words, "token")
+    hits = rows.groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+    size = hits.filter("token = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = hits.filter("token <> ''")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    return _scored(asked, hits.join(df, "token"), size, k, k1, b)
+
+
+def bm25_indexed(index: dict[str, DataFrame], questions: DataFrame, k: int = DEPTH, k1: float = K1, b: float = B) -> DataFrame:
+    """The same from published postings: only the files that hold the questions' tokens are read."""
+    asked = _question_tokens(questions)
+    size = index["docs"].agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = index["postings"].join(asked.select("token").distinct(), "token")
+    return _scored(asked, hits, size, k, k1, b)
 
 
 def dense(vectors: DataFrame, questions: DataFrame, k: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """``question_id, chunk_id, score, rank`` by exact cosine of ``vector`` columns.
 
     The question set is taken in blocks; each pass multiplies a block with the
-    vectors where they are and keeps the best ``k`` of each batch (ties by
-    chunk), so the shuffle does not carry all pairs.
+    vectors where they are and keeps the best ``k`` of each partition (ties by
+    chunk), so the shuffle does not carry all pairs.  A block is at most
+    ``BLOCK`` vectors.
     """
     out = None
     for some in _blocks(questions, block):
@@ -67,7 +96,8 @@ def dense(vectors: DataFrame, questions: DataFrame, k: int = DEPTH, block: int =
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "question_id bigint, chunk_id bigint, score double, rank int")
-    return ranked(out, k)
+    # sums of products differ in the last places by how rows were batched: ties are those to so many places
+    return ranked(out.withColumn("score", F.round("score", 12)), k).withColumn("score", F.round("score", 6))
 
 
 def _blocks(questions: DataFrame, size: int) -> Iterator[list]:
@@ -88,23 +118,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / n
 
 
+def _flat(column: pa.Array) -> np.ndarray:
+    """Vectors of a list column as one matrix, from its values without Python objects."""
+    values = column.flatten()
+    n = len(column)
+    if column.null_count or values.null_count or (n and len(values) % n):
+        raise ValueError("vectors must be there and of one size")
+    return np.asarray(values, np.float64).reshape(n, -1)
+
+
 def _nearest(asked: list, k: int):
     ids = np.array([q for q, _ in asked])
     q = _unit(np.array([v for _, v in asked], np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the best of all rows so far; never more than k of a question
+        best_score, best_chunk = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk = np.asarray(batch.column(0))
-            x = _unit(np.array(batch.column(1).to_pylist(), np.float64))
-            score = np.round(q @ x.T, 6)
-            cols: list[list] = [[], [], []]
-            for row, name in zip(score, ids, strict=True):
-                best = np.lexsort((chunk, -row))[:k]
-                for col, part in zip(cols, (np.full(len(best), name), chunk[best], row[best]), strict=True):
-                    col.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["question_id", "chunk_id", "score"])
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                chunk = np.broadcast_to(np.asarray(part.column(0)), (len(ids), part.num_rows))
+                score = np.concatenate([best_score, q @ _unit(_flat(part.column(1))).T], 1)
+                chunk = np.concatenate([best_chunk, chunk], 1)
+                order = np.lexsort((chunk, -np.round(score, 12)), axis=1)[:, :k]
+                best_score, best_chunk = np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_chunk.shape[1])), pa.array(best_chunk.ravel()), pa.array(best_score.ravel())], ["question_id", "chunk_id", "score"])
 
     return run
 
@@ -123,8 +161,31 @@ def fuse(branches: dict[str, DataFrame], k: int = RESULT, weights: dict[str, flo
         part = hits.select("question_id", "chunk_id", F.lit(name).alias("source"), "rank", F.col("score").alias("source_score"), (F.lit(weights[name]) / (F.lit(constant) + F.col("rank"))).alias("part"))
         stacked = part if stacked is None else stacked.unionByName(part)
     entry = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", c))))
-    scored = stacked.groupBy("question_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.min("rank").alias("best_rank"), entry("source_score").alias("source_scores"), entry("rank").alias("source_ranks"))
-    return ranked(scored, k, F.col("best_rank"))
+    scored = stacked.groupBy("question_id", "chunk_id").agg(F.sum("part").alias("score"), F.min("rank").alias("best_rank"), entry("source_score").alias("source_scores"), entry("rank").alias("source_ranks"))
+    # two sources give two parts at most, whose sum does not depend on their order
+    return ranked(scored, k, F.col("best_rank")).withColumn("score", F.round("score", 6))
+
+
+def broken_branches(branches: dict[str, DataFrame]) -> list[str]:
+    """Sources whose hits break the contract of fusion: a chunk twice for a question, or ranks that are not 1 to n."""
+    out = []
+    for name, hits in branches.items():
+        rows = hits.groupBy("question_id").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("rank").alias("ranks"), F.min("rank").alias("low"))
+        if not rows.filter("n <> top or n <> chunks or n <> ranks or low <> 1").isEmpty():
+            out.append(name)
+    return out
+
+
+#: Profiles of fusion; a profile's name stands for its constant and weights.
+PROFILES = {"hybrid-v1": (60, {"bm25": 1.0, "dense": 1.0}), "hybrid-v2": (60, {"bm25": 0.3, "dense": 0.7})}
+
+
+def profile(name: str, constant: int | None = None, weights: dict[str, float] | None = None) -> tuple[int, dict[str, float]]:
+    """Constant and weights of a profile; others under its name are an error."""
+    own = PROFILES[name]
+    if (constant, weights) not in ((None, None), own):
+        raise ValueError(f"profile {name} has constant and weights of its own")
+    return own
 
 
 def merge_hops(first: DataFrame, second: DataFrame) -> DataFrame:

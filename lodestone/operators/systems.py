@@ -61,3 +61,36 @@ def broken_postings(postings: DataFrame) -> DataFrame:
     """Tokens whose postings break the index contract: a chunk twice, or a count below one."""
     seen = postings.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("chunks"), F.min("tf").alias("least"))
     return seen.filter((F.col("n") != F.col("chunks")) | (F.col("least") < 1))
+
+
+def contained(points: DataFrame, value: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
+    """Points joined to the half-open intervals that hold them, of any widths and overlapping or not.
+
+    Cells of the intervals' mean width make it a join by equality: an interval
+    stands in each cell it touches, a point in its own.
+    """
+    width = intervals.agg(F.greatest(F.avg(F.col(high) - F.col(low)), F.lit(1e-9))).first()[0]
+    if width is None:
+        return points.crossJoin(intervals.limit(0))
+    cell = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
+    spread = intervals.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
+    rows = points.withColumn("_cell", cell(F.col(value))).join(spread, "_cell")
+    return rows.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_cell")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, at: str, reach: int | None = None) -> DataFrame:
+    """For each row of ``left`` the places of the nearest rows of ``right`` before and behind it, within ``reach``.
+
+    Both sides are stacked and two running frames look back and ahead, so it
+    is one shuffle by the key.  Rows at the same place are neither.
+    """
+    from pyspark.sql import Window
+
+    rows = left.withColumn("_side", F.lit(0)).unionByName(right.select(key, at).withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    mark = F.when(F.col("_side") == 1, F.col(at))
+    w = Window.partitionBy(key).orderBy(at)
+    found = rows.withColumn("before", F.max(mark).over(w.rangeBetween(Window.unboundedPreceding, -1))).withColumn("behind", F.min(mark).over(w.rangeBetween(1, Window.unboundedFollowing)))
+    found = found.filter("_side = 0").drop("_side")
+    if reach is not None:
+        found = found.withColumn("before", F.when(F.col(at) - F.col("before") <= reach, F.col("before"))).withColumn("behind", F.when(F.col("behind") - F.col(at) <= reach, F.col("behind")))
+    return found
