@@ -53,8 +53,28 @@ def matches(text: Column, pattern: str) -> Column:
         row = F.struct(word.alias("w"), acc["at"].alias("a"), (acc["at"] + F.length(word)).alias("b"), F.substring(piece, F.length(word) + 2, F.length(piece)).alias("gap"))
         return F.struct((acc["at"] + F.length(piece) - 1).cast("int").alias("at"), F.concat(acc["out"], F.array(row)).cast(MATCH).alias("out"))
 
-    start = F.struct(F.length(F.get(pieces, F.lit(0))).cast("int").alias("at"), none_of(MATCH).alias("out"))
-    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, add, lambda acc: acc["out"])
+    def of(ps: Column) -> Column:
+        # block by block, so that a long text costs its length and not its square
+        starts = F.when(F.size(ps) > 1, F.sequence(F.lit(1), F.size(ps) - 1, F.lit(BLOCK))).otherwise(none_of("array<int>"))
+        empty = F.struct(F.lit(0).alias("at"), none_of(MATCH).alias("out"))
+        blocks = F.transform(starts, lambda k: F.aggregate(F.slice(ps, k + 1, F.lit(BLOCK)), empty, add))
+        return let(blocks, lambda bs: let(offsets(F.length(F.get(ps, F.lit(0))), bs["at"]), lambda at: F.flatten(F.transform(bs, lambda x, i: F.transform(x["out"], lambda m: _moved(m, F.get(at, i)))))))
+
+    return let(pieces, of).cast(MATCH)
+
+
+#: Pieces that are put together at once.
+BLOCK = 64
+
+
+def _moved(m: Column, by: Column) -> Column:
+    return F.struct(m["w"].alias("w"), (m["a"] + by).alias("a"), (m["b"] + by).alias("b"), m["gap"].alias("gap"))
+
+
+def offsets(first: Column, sizes: Column) -> Column:
+    """Where each of some stretches begins, the first at ``first``."""
+    start = F.array(first.cast("int"))
+    return F.aggregate(sizes, start, lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int"))))
 
 
 def capital(word: Column) -> Column:
@@ -109,8 +129,14 @@ def _apart(spans: Column, taken: Column) -> Column:
 
 
 def first_of(rows: Column, key: Callable[[Column], Column]) -> Column:
-    """Elements without those whose key came before."""
-    return let(F.transform(rows, key), lambda keys: F.filter(rows, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    """Elements without those whose key came before; sorted once by key, so long arrays are no trouble."""
+
+    def of(rs: Column) -> Column:
+        keyed = F.array_sort(F.transform(rs, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"))))
+        firsts = lambda ks: F.filter(ks, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(ks, j - 1)["k"]))
+        return let(keyed, lambda ks: F.transform(F.array_sort(F.transform(firsts(ks), lambda x: x["i"])), lambda i: F.get(rs, i)))
+
+    return let(rows, of)
 
 
 def all_names(text: Column) -> Column:
@@ -121,13 +147,17 @@ def all_names(text: Column) -> Column:
     def from_words(quoted: Column, words: Column) -> Column:
         big = F.transform(words, lambda m: capital(m["w"]))
         small = F.transform(words, lambda m: F.lower(m["w"]).isin(JOINING))
-        found = let(big, lambda x: let(small, lambda y: F.filter(runs(x, y), lambda r: r["e"] > r["s"])))
-        phrases = F.transform(found, lambda r: piece(F.get(words, r["s"])["a"], F.get(words, r["e"])["b"]))
-        single = F.transform(F.filter(words, lambda m: capital(m["w"])), lambda m: piece(m["a"], m["b"]))
-        return let(
-            _names_of(_apart(phrases, quoted), "capitalized_phrase"),
-            lambda named: F.concat(quoted, named, _names_of(_apart(single, F.concat(quoted, named)), "title_like_token")),
-        )
+
+        def of(found: Column, flags: Column) -> Column:
+            a, b = lambda r: F.get(words, r["s"])["a"], lambda r: F.get(words, r["e"])["b"]
+            held = lambda r: F.exists(quoted, lambda t: (a(r) < t["end"]) & (t["start"] < b(r)))
+            kept = F.filter(found, lambda r: (r["e"] > r["s"]) & ~held(r))
+            # words of their own, and those of runs that a quotation breaks up
+            rest = F.flatten(F.transform(F.filter(found, lambda r: (r["e"] == r["s"]) | held(r)), lambda r: F.filter(F.sequence(r["s"], r["e"]), lambda k: holds(flags, k))))
+            single = _apart(F.transform(rest, lambda k: piece(F.get(words, k)["a"], F.get(words, k)["b"])), quoted)
+            return F.concat(quoted, _names_of(F.transform(kept, lambda r: piece(a(r), b(r))), "capitalized_phrase"), _names_of(single, "title_like_token"))
+
+        return let(big, lambda x: let(small, lambda y: let(runs(x, y), lambda found: of(found, x))))
 
     return let(_names_of(inner, "quoted_string"), lambda quoted: let(matches(text, LETTER_WORD), lambda words: from_words(quoted, words)))
 
