@@ -107,12 +107,13 @@ def graph_edges(scored: DataFrame, questions: DataFrame) -> DataFrame:
     u = scored.join(q, "question_id").select(
         "question_id", "evidence_unit_id", "chunk_id", F.coalesce("doc_title", F.lit("")).alias("doc_title"), "final_score", "expected_answer_type", "entity_overlap", "resolved_text", "retrieval_rank", "sentence_id",
         T.sentence_node(F.col("evidence_unit_id")).alias("sid"), F.greatest("final_score", F.lit(ANCHOR_WEIGHT)).alias("anchor"), "seeds", F.transform("seeds", T.graph_key).alias("seed_keys"),
-        _first_by_key(F.col("entities")).alias("ents"), _first_by_key(F.col("relation_hints")).alias("rels"), _first_by_key(F.col("answer_types")).alias("types"),
+        F.transform(_first_by_key(F.col("entities")), lambda e: F.struct(e.alias("label"), T.graph_key(e).alias("key"), ent(e).alias("node"))).alias("ents"), _first_by_key(F.col("relation_hints")).alias("rels"), _first_by_key(F.col("answer_types")).alias("types"),
     )
     text = F.concat(F.lit(" "), spaced(F.col("resolved_text")), F.lit(" "))
-    own_keys = F.transform(F.concat("ents", "entity_overlap", F.array("doc_title")), T.graph_key)
+    own_keys = F.concat(F.col("ents.key"), F.transform(F.concat("entity_overlap", F.array("doc_title")), T.graph_key))
     u = u.withColumn("own_keys", own_keys).withColumn("spaced", text)
-    u = u.withColumn("hit", F.filter("seeds", lambda s: F.array_contains("own_keys", T.graph_key(s)) | F.contains(F.col("spaced"), F.concat(F.lit(" "), spaced(s), F.lit(" ")))))
+    hit = F.filter("seeds", lambda s: F.array_contains("own_keys", T.graph_key(s)) | F.contains(F.col("spaced"), F.concat(F.lit(" "), spaced(s), F.lit(" "))))
+    u = u.withColumn("hit", F.transform(hit, lambda s: F.struct(s.alias("label"), ent(s).alias("node"))))
     none = F.lit(None).cast("string")
     sid, sentence = F.col("sid"), F.col("evidence_unit_id")
 
@@ -129,19 +130,19 @@ def graph_edges(scored: DataFrame, questions: DataFrame) -> DataFrame:
         edge("title_to_sentence", T.node_id("title", title), sid, title, sentence, "final_score"),
     )
     expected = F.exists("types", lambda t: T.graph_key(t) == T.graph_key(F.col("expected_answer_type")))
-    pairs = F.flatten(F.transform("ents", lambda e: F.transform(F.filter("ents", lambda f: ent(e) < ent(f)), lambda f: edge("entity_cooccurs_with_entity", ent(e), ent(f), e, f, "final_score"))))
-    bridges = F.flatten(F.transform("hit", lambda s: F.transform(F.filter("ents", lambda e: ent(e) != ent(s)), lambda e: edge("possible_bridge", ent(s), ent(e), s, e, "final_score"))))
-    answers = F.filter("ents", lambda e: expected & ~F.array_contains("seed_keys", T.graph_key(e)))
+    pairs = F.flatten(F.transform("ents", lambda e: F.transform(F.filter("ents", lambda f: e["node"] < f["node"]), lambda f: edge("entity_cooccurs_with_entity", e["node"], f["node"], e["label"], f["label"], "final_score"))))
+    bridges = F.flatten(F.transform("hit", lambda s: F.transform(F.filter("ents", lambda e: e["node"] != s["node"]), lambda e: edge("possible_bridge", s["node"], e["node"], s["label"], e["label"], "final_score"))))
+    answers = F.when(expected, F.filter("ents", lambda e: ~F.array_contains("seed_keys", e["key"]))).otherwise(F.filter("ents", lambda e: F.lit(False)))
     parts = [
         plain,
         F.when(title != "", titled).otherwise(F.array()),
-        F.transform("ents", lambda e: edge("sentence_mentions_entity", sid, ent(e), sentence, e, "final_score")),
+        F.transform("ents", lambda e: edge("sentence_mentions_entity", sid, e["node"], sentence, e["label"], "final_score")),
         F.transform("rels", lambda r: edge("sentence_has_relation", sid, T.node_id("relation", r), sentence, r, "final_score", r)),
         F.transform("types", lambda t: edge("sentence_has_answer_type", sid, T.node_id("answer_type", t), sentence, t, "final_score")),
         pairs,
-        F.transform("hit", lambda s: edge("seed_entity_to_sentence", ent(s), sid, s, sentence, "anchor")),
+        F.transform("hit", lambda s: edge("seed_entity_to_sentence", s["node"], sid, s["label"], sentence, "anchor")),
         bridges,
-        F.transform(answers, lambda e: edge("possible_answer_candidate", sid, ent(e), sentence, e, "final_score")),
+        F.transform(answers, lambda e: edge("possible_answer_candidate", sid, e["node"], sentence, e["label"], "final_score")),
     ]
     every = u.select("question_id", "evidence_unit_id", F.coalesce("retrieval_rank", F.lit(1_000_000_000)).alias("rank"), "sentence_id", F.explode(F.concat(*[x.cast(EDGE) for x in parts])).alias("x"))
     every = every.select("question_id", "evidence_unit_id", "rank", "sentence_id", "x.*")

@@ -69,32 +69,34 @@ UNIT = "question_id int, evidence_unit_id string, chunk_id string, doc_title str
 
 
 @pytest.fixture(scope="module")
-def nolan(spark):
-    q = spark.createDataFrame([(1, "where was the director of inception born?", "BRIDGE", "LOCATION", ["Inception"], ["directed", "born"])], QUESTION)
+def film(spark):
+    q = spark.createDataFrame([(1, "where was the director of glass harbour born?", "BRIDGE", "LOCATION", ["Glass Harbour"], ["directed", "born"])], QUESTION)
     u = spark.createDataFrame(
         [
-            (1, "c1::s0", "c1", "Inception", 0, "Inception was directed by Christopher Nolan.", "Inception was directed by Christopher Nolan.", ["Inception", "Christopher Nolan"], ["directed"], ["PERSON"], ["Inception"], 1, None),
-            (1, "c2::s0", "c2", "Christopher Nolan", 0, "Christopher Nolan was born in London.", "Christopher Nolan was born in London.", ["Christopher Nolan", "London"], ["born"], ["LOCATION"], [], 2, None),
+            (1, "c1::s0", "c1", "Glass Harbour", 0, "Glass Harbour was directed by Marta Okonjo.", "Glass Harbour was directed by Marta Okonjo.", ["Glass Harbour", "Marta Okonjo"], ["directed"], ["PERSON"], ["Glass Harbour"], 1, None),
+            (1, "c2::s0", "c2", "Marta Okonjo", 0, "Marta Okonjo was born in Lagos.", "Marta Okonjo was born in Lagos.", ["Marta Okonjo", "Lagos"], ["born"], ["LOCATION"], [], 2, None),
         ],
         UNIT,
     )
     return q, evidence.score_units(u, q)
 
 
-def test_two_sentences_give_all_edge_kinds_and_the_bridge(spark, nolan):
-    q, scored = nolan
+def test_two_sentences_give_all_edge_kinds_and_the_bridge(spark, film):
+    q, scored = film
     edges = evidence.graph_edges(scored, q)
     assert edges.select("edge_type").distinct().count() == 11
     assert edges.count() == edges.select("question_id", "edge_id").distinct().count()
     r = evidence.bridge_triples(edges).first()
-    assert (r.seed, r.bridge, r.answer) == ("entity::inception", "entity::christopher_nolan", "entity::london")
+    assert (r.seed, r.bridge, r.answer) == ("entity::glass_harbour", "entity::marta_okonjo", "entity::lagos")
     assert evidence.factoid_pairs(edges).count() == 1 and evidence.yes_no_pairs(edges).count() == 0
-    best = evidence.factoid_paths(scored, edges, q).first()
-    assert best.path_rank == 1 and best.path_id.startswith("factoid::")
+    best = evidence.search_paths(scored, edges, q.withColumn("targets", F.array().cast("array<string>"))).collect()
+    assert [(r.path_rank, r.path_kind, r.answer_candidate, r.bridge_entity, r.evidence_unit_ids) for r in best] == [(1, "bridge_candidate", "Lagos", "Marta Okonjo", ["c1::s0", "c2::s0"])]
+    u1, u2 = (r.final_score for r in scored.orderBy("chunk_id").collect())
+    assert best[0].score == round((u1 + u2) / 2 + 0.25 + 0.20 + 0.10 + 0.20 + 0.15 + 0.05, 6)
 
 
-def test_features_by_hand(nolan):
-    r = nolan[1].filter("chunk_id = 'c1'").first()
+def test_features_by_hand(film):
+    r = film[1].filter("chunk_id = 'c1'").first()
     assert (r.entity_match, r.relation_match, r.answer_type_match, r.title_match, r.retrieval, r.bridge_entity) == (1.0, 0.5, 0.0, 1.0, 1.0, 1.0)
     assert r.noise_penalty == 0.0
 
