@@ -189,16 +189,19 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     signed = store.written(sign(docs), "signed")
     rows = signed.filter(F.size("bands") > 0).dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = store.written(rows.join(shared, "bucket"), "buckets")
-    central = rows.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
-    pivots = rows.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"))
-    rows = store.written(rows.join(pivots, "bucket"), "pivoted")
+    buckets = store.written(rows.join(shared, "bucket"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum(F.log("n")).alias("central"))
+    pivots = buckets.join(central, "node").groupBy("bucket").agg(F.max_by("node", F.struct("central", "node")).alias("pivot"))
+    rows = store.written(buckets.join(pivots, "bucket"), "pivoted")
+    store.forget(buckets)
     wanted = rows.select("node").distinct()
     holders = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("holder"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = store.written(_node_texts(texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"])).select("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     first = store.written(_verified(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts), "verified")
     links, labels = _rest(rows, first, texts)
+    store.forget(rows)
+    store.forget(texts)
     return signed, labels, links
 
 
@@ -290,7 +293,7 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
 
     in_open = store.written(several(rows.select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
     open_rows = store.written(_prefixes(texts.join(in_open, "node", "left_semi")), "prefixes")
-    offered, last = OFFERED, open_rows
+    offered, last, compared = OFFERED, open_rows, [first]
     while True:
         named = store.written(several(open_rows, "group"), "open")
         store.forget(last)
@@ -309,6 +312,7 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
         pairs = mine.join(theirs, "group").filter((F.col("label") != F.col("its_label")) & sized & enough)
         pairs = pairs.select(F.greatest("node", "its_node").alias("pivot"), F.least("node", "its_node").alias("member")).distinct()
         again = store.written(_verified(pairs.join(done, ["pivot", "member"], "left_anti"), texts), "verified")
+        compared.append(again)
         done = done.unionByName(again)
         of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
         found = again.filter(close).join(of("pivot"), "pivot", "left").join(of("member"), "member", "left")
@@ -325,6 +329,8 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
         open_rows = named.join(main.filter(F.col("n") > offered).select("group"), "group").select("node", "size", "group", "place")
         offered *= GROWTH
     links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")
+    for table in (last, in_open, *compared):
+        store.forget(table)
     return links, labels
 
 
@@ -352,7 +358,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of them.  Null texts are empty; an empty table gives no rows; extra
     columns stay, whatever their names.
     """
-    signed, labels, _ = _labelled(docs)
+    signed, labels, links = _labelled(docs)
     named = signed.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))
     least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     kept = named.groupBy("label").agg(F.min(least).alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept_digest"))
@@ -361,4 +367,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     mine = docs.withColumn(own, F.sha2(F.coalesce("text", F.lit("")), 256))
     out = mine.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_digest")), "left_semi")
     again = signed.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
+    for table in (signed, labels, links):
+        store.forget(table)
     return (out if again else out.dropDuplicates(["doc_id", own])).drop(own)

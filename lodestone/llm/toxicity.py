@@ -278,6 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         own = fold_of == k
         if own.any() and not own.all():
             raw[own] = Trees().fit(x[~own], y[~own]).raw(x[own])
+    for table in (rows, counts):
+        store.forget(table)
     model.trees = Trees().fit(x, y)
     model.knots, model.values = isotonic(raw, y)
     return model
