@@ -12,6 +12,7 @@ from lodestone.operators import chunks, diagnostics, evidence, next_hop, pipelin
 from lodestone.operators import questions as analysis
 from lodestone.plans import register
 from lodestone.plans.register import query, table
+from lodestone.sources import records
 from lodestone.sources.tables import Scratch
 
 #: Paragraphs that a question retrieves here.
@@ -30,16 +31,31 @@ def _retrieve(spark, sf_dir, depth=DEPTH):
     return lambda asked: retrieval.bm25(texts, asked, depth)
 
 
+#: Passes that this application has run, by its id and the tables; each is written once and read by all queries.
+_PASSES: dict = {}
+
+
+def _once(spark, sf_dir, name, make):
+    """Result of ``make(keep)``, made again only if its tables are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    found = _PASSES.get(key)
+    if found is None or not all(records.exists(spark, p) for p in found[0].paths):
+        scratch = Scratch(spark)
+        found = _PASSES[key] = (scratch, make(scratch.keep))
+    return found[1]
+
+
 def _retrieved(spark, sf_dir):
-    keep = Scratch(spark).keep
-    asked = keep(analysis.analyze(register.questions(spark, sf_dir)), "analysis")
-    hits = _retrieve(spark, sf_dir)(register.questions(spark, sf_dir))
-    return keep(pipelines.resolved(hits, _chunks(spark, sf_dir)), "retrieved"), asked
+    def make(keep):
+        asked = keep(analysis.analyze(register.questions(spark, sf_dir)), "analysis")
+        hits = _retrieve(spark, sf_dir)(register.questions(spark, sf_dir))
+        return keep(pipelines.resolved(hits, _chunks(spark, sf_dir)), "retrieved"), asked
+
+    return _once(spark, sf_dir, "retrieved", make)
 
 
 def _pass(spark, sf_dir):
-    retrieved, asked = _retrieved(spark, sf_dir)
-    return pipelines.run_pass(retrieved, asked, Scratch(spark).keep)
+    return _once(spark, sf_dir, "pass", lambda keep: pipelines.run_pass(*_retrieved(spark, sf_dir), keep))
 
 
 @query()
@@ -70,7 +86,7 @@ def chunk_analysis_v1(spark, sf_dir):
 
 @query()
 def sentence_units(spark, sf_dir):
-    return units.extract(*_retrieved(spark, sf_dir))
+    return _pass(spark, sf_dir).units
 
 
 @query()
