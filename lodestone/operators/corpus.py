@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import spans as S
 from lodestone.functions import text as T
 
 #: Fixed value: what an identifier looks like.
@@ -73,9 +74,9 @@ def holders(chunks: DataFrame, items: DataFrame) -> DataFrame:
     def found(block: list) -> DataFrame:
         table = spark.createDataFrame(block, "question_id bigint, item string, piece string")
         pieces = sorted({p for _, _, p in block if p is not None})
-        cut = F.split("text", " ")
-        at = F.when(F.size(cut) >= PIECE, F.sequence(F.lit(0), F.size(cut) - PIECE)).otherwise(F.array().cast("array<int>"))
-        runs = F.transform(at, lambda k: F.array_join(F.slice(cut, k + 1, PIECE), " "))
+        at = lambda cut: F.when(F.size(cut) >= PIECE, F.sequence(F.lit(0), F.size(cut) - PIECE)).otherwise(F.array().cast("array<int>"))
+        joined = lambda cut, k: F.concat_ws(" ", *[F.get(cut, k + j) for j in range(PIECE)])
+        runs = S.let(F.split("text", " "), lambda cut: F.transform(at(cut), lambda k: joined(cut, k)))
         known = F.lit(pieces) if pieces else F.array().cast("array<string>")
         near = chunks.select("chunk_id", "text", F.explode(F.array_intersect(runs, known)).alias("piece")).join(F.broadcast(table), "piece")
         near = near.filter(F.contains("text", "item")).select("question_id", "chunk_id")
