@@ -30,6 +30,11 @@ def search_text(title: Column, body: Column) -> Column:
     return F.concat_ws(" ", title, body)
 
 
+def document_text(title: Column, body: Column) -> Column:
+    """A paragraph as embedding providers get it."""
+    return F.concat(F.lit("Title: "), title, F.lit("\nText: "), body)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -28,3 +28,21 @@ def append(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def remember(events: DataFrame, name: str) -> StreamingQuery:
+    """Keep events in a table of the driver's memory; for tests and short looks only."""
+    return events.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+
+
+def ingest(events: DataFrame, store, checkpoint: str) -> StreamingQuery:
+    """Hand each batch to an experiment store, which checks the runs' life cycles and takes an event only once.
+
+    A batch that is run again changes nothing; one that breaks a run's life
+    stops the stream.
+    """
+
+    def take(batch: DataFrame, _: int) -> None:
+        store.ingest(batch)
+
+    return events.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
