@@ -353,7 +353,8 @@ def normalizers(spark, sf_dir):
 
 
 # --- evidence --------------------------------------------------------------------------------
-# Units are the lines of gold documents; names are words of five letters or more with a capital.
+# Units are the lines of gold documents, and a planted chain of two for each question with a name; names are words of
+# five letters or more with a capital.
 
 UNITS = r"""
 names AS (SELECT item_id AS question_id, lower(text) AS normalized_question, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS seeds, ['member', 'located'] AS required FROM benchmark),
@@ -362,7 +363,9 @@ units AS (SELECT question_id, doc_id::VARCHAR AS chunk_id, source AS doc_title,
   list_distinct(regexp_extract_all(s[i], '[A-Z][a-z]{4,}')) AS entities,
   list_concat(CASE WHEN contains(s[i], ' of ') THEN ['member'] ELSE [] END, CASE WHEN contains(s[i], ' in ') THEN ['located'] ELSE [] END) AS relation_hints,
   CASE WHEN regexp_matches(s[i], '[0-9]') THEN ['NUMBER', 'ENTITY'] ELSE ['ENTITY'] END AS answer_types, (doc_id % 10 + 1)::INT AS retrieval_rank
-  FROM gd, unnest(range(1, len(s) + 1)) r(i)),
+  FROM gd, unnest(range(1, len(s) + 1)) r(i)
+  UNION ALL SELECT question_id, 'chain' || k, 'none', 0, 'chain' || k || '::s0', t, list_distinct(regexp_extract_all(t, '[A-Z][a-z]{4,}')), []::VARCHAR[], ['ENTITY'], k::INT
+  FROM (SELECT question_id, 1 AS k, list_min(seeds) || ' met Bridgeman' AS t FROM names WHERE len(seeds) > 0 UNION ALL SELECT question_id, 2, 'Bridgeman saw Answerton' FROM names WHERE len(seeds) > 0)),
 """
 
 
@@ -376,13 +379,16 @@ def _names(column: str):
 
 
 def units(spark, sf_dir):
-    docs = gold(spark, sf_dir).join(paragraphs(spark, sf_dir), "chunk_id").select("question_id", F.col("chunk_id").alias("doc"), F.col("source").alias("doc_title"), F.posexplode(F.split("text", "\n")).alias("sentence_id", "sentence_text"))
+    docs = gold(spark, sf_dir).join(paragraphs(spark, sf_dir), "chunk_id").select("question_id", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("source").alias("doc_title"), (F.col("chunk_id") % 10 + 1).cast("int").alias("retrieval_rank"), F.posexplode(F.split("text", "\n")).alias("sentence_id", "sentence_text"))
+    link = lambda k, text: F.struct(F.lit(f"chain{k}").alias("chunk_id"), F.lit("none").alias("doc_title"), F.lit(k).alias("retrieval_rank"), F.lit(0).alias("sentence_id"), text.alias("sentence_text"))
+    chain = F.array(link(1, F.concat(F.array_min("seeds"), F.lit(" met Bridgeman"))), link(2, F.lit("Bridgeman saw Answerton")))
+    planted = unit_questions(spark, sf_dir).filter(F.size("seeds") > 0).select("question_id", F.explode(chain).alias("x")).select("question_id", "x.*")
     has = lambda word, name: F.when(F.contains("sentence_text", F.lit(f" {word} ")), F.lit(name))
-    return docs.select(
-        "question_id", F.concat(F.col("doc").cast("string"), F.lit("::s"), F.col("sentence_id").cast("string")).alias("evidence_unit_id"), F.col("doc").cast("string").alias("chunk_id"), "doc_title", "sentence_id", "sentence_text",
+    return docs.unionByName(planted).select(
+        "question_id", F.concat("chunk_id", F.lit("::s"), F.col("sentence_id").cast("string")).alias("evidence_unit_id"), "chunk_id", "doc_title", "sentence_id", "sentence_text",
         F.col("sentence_text").alias("resolved_text"), _names("sentence_text").alias("entities"), F.array_compact(F.array(has("of", "member"), has("in", "located"))).alias("relation_hints"),
         F.when(F.col("sentence_text").rlike("[0-9]"), F.array(F.lit("NUMBER"), F.lit("ENTITY"))).otherwise(F.array(F.lit("ENTITY"))).alias("answer_types"), F.array().cast("array<string>").alias("entity_overlap"),
-        (F.col("doc") % 10 + 1).cast("int").alias("retrieval_rank"), F.lit(None).cast("double").alias("retrieval_score"),
+        "retrieval_rank", F.lit(None).cast("double").alias("retrieval_score"),
     )
 
 
