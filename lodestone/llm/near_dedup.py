@@ -291,7 +291,8 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
         mixed = named.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(by)
         return named.join(mixed, by)
 
-    in_open = store.written(several(rows.select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
+    # a bucket of two has no pair but the one that its pivot made
+    in_open = store.written(several(rows.filter("n > 2").select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
     open_rows = store.written(_prefixes(texts.join(in_open, "node", "left_semi")), "prefixes")
     offered, last, compared = OFFERED, open_rows, [first]
     while True:
@@ -331,6 +332,7 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
     links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")
     for table in (last, in_open, *compared):
         store.forget(table)
+    store.sweep(rows.sparkSession)
     return links, labels
 
 

@@ -7,6 +7,7 @@ there, so a lost executor never loses the only copy of an intermediate result.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def forget(df: DataFrame) -> None:
     drop(df.sparkSession, df.lodestone_path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nobody holds any more; it looks for them when memory is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, uri: str) -> None:
     """Delete a path below the shared folder."""
     jvm = spark.sparkContext._jvm

@@ -390,6 +390,7 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     warehouse: what is found out about a text comes to it without moving it.
     """
     spark = docs.sparkSession
+    store.sweep(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = SHARDS * parts
     # null ids count as greater than all
