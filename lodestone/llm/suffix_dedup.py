@@ -110,6 +110,20 @@ def _rows(names: list[str], kinds: list, cols: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
+def _cells(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Runs of values, one behind the other, as binary cells without copying them."""
+    width = values.nbytes // len(values) if len(values) else 1
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbered(runs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values in order within runs: each one's number among the distinct ones of its run, where those stand first, and their runs."""
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (values[1:] != values[:-1])
+    first = np.flatnonzero(new)
+    return np.cumsum(new) - 1 - np.searchsorted(runs[first], runs), first, runs[first]
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct texts of each batch with the least document that has them, so copies are merged before they move."""
     for batch in batches:
@@ -134,15 +148,16 @@ def _anchors(parts: int):
             keep = np.ones(len(anchor), bool)
             keep[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
             anchor, text = anchor[keep], text[keep]
-            cuts = _split(anchor >> np.uint64(40), parts)
-            cols: list[list] = [[], [], [], []]
-            for p in np.flatnonzero(np.diff(cuts)):
-                some, nums = np.unique(text[cuts[p] : cuts[p + 1]], return_inverse=True)
-                low = np.ascontiguousarray(anchor[cuts[p] : cuts[p + 1]]).view(np.uint8).reshape(-1, 8)[:, :5]
-                kind = "<u2" if len(some) < 65536 else "<u4"
-                for col, x in zip(cols, (int(p), low.tobytes(), nums.astype(kind).tobytes(), keys[some].astype("<i8").tobytes()), strict=True):
-                    col.append(x)
-            yield _rows(["part", "low", "nums", "keys"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()], cols)
+            part = (anchor >> np.uint64(40)).astype(np.int64)
+            order = np.argsort(part << 32 | text)
+            nums = np.empty(len(part), np.int64)
+            nums[order], first, owners = _numbered(part[order], text[order])
+            held = np.unique(part)
+            cuts, low = np.append(np.searchsorted(part, held), len(part)), np.ascontiguousarray(anchor).view(np.uint8).reshape(-1, 8)[:, :5]
+            kind = "<u2" if len(keys) < 65536 else "<u4"
+            some = np.append(np.searchsorted(owners, held), len(owners))
+            cols = [pa.array(held, pa.int32()), _cells(low, cuts), _cells(nums.astype(kind), cuts), _cells(keys[text[order][first]].astype("<i8"), some)]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "low", "nums", "keys"])
 
     return run
 
@@ -168,15 +183,11 @@ def _shared(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            lows, owners = [], []
-            for low, nums, keys in rows:
-                five = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                wide = np.zeros((len(five), 8), np.uint8)
-                wide[:, :5] = five
-                lows.append(wide.view("<u8").ravel())
-                nums = np.frombuffer(nums, "<u2" if len(nums) == 2 * len(five) else "<u4")
-                owners.append(np.frombuffer(keys, "<i8")[nums])
-            low, owner = np.concatenate(lows), np.concatenate(owners)
+            five = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(five), 8), np.uint8)
+            wide[:, :5] = five
+            low = wide.view("<u8").ravel()
+            owner = np.concatenate([np.frombuffer(keys, "<i8")[np.frombuffer(nums, "<u2" if 5 * len(nums) == 2 * len(some) else "<u4")] for some, nums, keys in rows])
             order = np.lexsort((owner, low))
             low, owner = low[order], owner[order]
             new = np.ones(len(low), bool)
@@ -188,12 +199,9 @@ def _shared(parts: int):
             low, owner = low[many] | np.uint64(part << 40), owner[many]
             order = np.argsort(owner % parts, kind="stable")
             low, owner = low[order], owner[order]
-            cuts = _split(owner % parts, parts)
-            cols: list[list] = [[], [], []]
-            for p in np.flatnonzero(np.diff(cuts)):
-                for col, x in zip(cols, (int(p), owner[cuts[p] : cuts[p + 1]].tobytes(), low[cuts[p] : cuts[p + 1]].tobytes()), strict=True):
-                    col.append(x)
-            yield _rows(["part", "keys", "anchors"], [pa.int32(), pa.binary(), pa.binary()], cols)
+            held = np.unique(owner % parts)
+            cuts = np.append(np.searchsorted(owner % parts, held), len(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), _cells(owner, cuts), _cells(low, cuts)], ["part", "keys", "anchors"])
 
     return run
 
@@ -232,18 +240,20 @@ def _segments(parts: int, shards: int):
                 got.append((anchor, nums[text], at, count, offsets[nums[text]] + at))
             anchor, text, at, count, place = (np.concatenate(x) for x in zip(*got, strict=True))
             shard = ((anchor ^ anchor >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = _split(shard[order], shards)
-            names = ["part", "bytes", "counts", "nums", "at", "anchors", "keys", "docs"]
-            cols: list[list] = [[] for _ in names]
-            for s in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[s] : cuts[s + 1]]
-                some, nums = np.unique(text[mine], return_inverse=True)
-                data = raw[_gather(place[mine], count[mine] + induced.DEPTH - 1)]
-                row = (int(s), data.tobytes(), count[mine].astype("<u2").tobytes(), nums.astype("<u4").tobytes(), at[mine].astype("<u8").tobytes(), anchor[mine].tobytes(), keys[some].astype("<i8").tobytes(), docs[some].astype("<i8").tobytes())
-                for col, x in zip(cols, row, strict=True):
-                    col.append(x)
-            yield _rows(names, [pa.int32()] + [pa.binary()] * 7, cols)
+            order = np.argsort(shard, kind="stable")  # texts stay in order within a shard
+            shard, anchor, text, at, count, place = (x[order] for x in (shard, anchor, text, at, count, place))
+            held = np.unique(shard)
+            cuts = np.append(np.searchsorted(shard, held), len(shard))
+            nums, first, owners = _numbered(shard, text)
+            some = np.append(np.searchsorted(owners, held), len(owners))
+            lengths = count + induced.DEPTH - 1
+            ends = np.append(0, np.cumsum(lengths))
+            data = np.empty(int(ends[-1]), np.uint8)
+            for a, b in bytescan.steps(ends):
+                data[ends[a] : ends[b]] = raw[_gather(place[a:b], lengths[a:b])]
+            cols = [pa.array(held, pa.int32()), _cells(data, ends[cuts]), _cells(count.astype("<u2"), cuts), _cells(nums.astype("<u4"), cuts), _cells(at.astype("<u8"), cuts), _cells(anchor, cuts)]
+            cols += [_cells(x[text[first]].astype("<i8"), some) for x in (keys, docs)]
+            yield pa.RecordBatch.from_arrays(cols, ["part", "bytes", "counts", "nums", "at", "anchors", "keys", "docs"])
 
     return run
 
@@ -273,6 +283,21 @@ def _least_docs(data: np.ndarray, counts: np.ndarray, anchors: np.ndarray, low:
     return least
 
 
+def _joined_rows(rows: list[tuple], size: int = bytescan.STEP) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Cells of a shard's rows put together until their texts have ``size`` bytes, and how many texts stand before each segment's row.
+
+    There is a row for each block of the input, so work on each by itself would grow with the square of the input.
+    """
+    some, n = [], 0
+    for k, row in enumerate(rows):
+        some.append(row)
+        n += len(row[0])
+        if n >= size or k == len(rows) - 1:
+            texts = np.array([len(r[5]) // 8 for r in some])
+            yield [b"".join(c) for c in zip(*some, strict=True)], np.repeat(np.cumsum(texts) - texts, [len(r[1]) // 2 for r in some])
+            some, n = [], 0
+
+
 def _repeats(parts: int):
     """Matches of each shard that also stand in a document with a smaller id, by part of the text's key."""
 
@@ -282,13 +307,13 @@ def _repeats(parts: int):
             names, count, where, own, key = [], [], [], [], []
             kept: dict[str, list] = {"data": [], "count": [], "anchor": [], "name": []}
             seen = np.zeros(0, np.uint64)
-            for data, counts, nums, at, anchors, keys, docs in rows:
+            for (data, counts, nums, at, anchors, keys, docs), before in _joined_rows(rows):
                 raw, n = np.frombuffer(data, np.uint8), np.frombuffer(counts, "<u2").astype(np.int64)
                 ends = np.cumsum(n + span)
                 sums = bytescan.prefix(raw)
                 starts = ends - n - span
                 name = bytescan.mix((sums[ends] - sums[starts]) * bytescan._power(len(raw) + 1, "down", bytescan._INVERSE)[starts]) ^ n.astype(np.uint64)
-                nums = np.frombuffer(nums, "<u4")
+                nums = np.frombuffer(nums, "<u4") + before
                 names.append(name)
                 count.append(n)
                 where.append(np.frombuffer(at, "<u8").astype(np.int64))
@@ -325,13 +350,10 @@ def _repeats(parts: int):
                 out.append((owner[s][which], doc[s][which], at[s][which] + begin - (bounds - n[s])[which], end - begin))
             owner, doc, at, n = (np.concatenate(x) for x in zip(*out, strict=True))
             order = np.argsort(owner % parts, kind="stable")
-            cuts = _split((owner % parts)[order], parts)
-            cols: list[list] = [[] for _ in range(5)]
-            for p in np.flatnonzero(np.diff(cuts)):
-                mine = order[cuts[p] : cuts[p + 1]]
-                for col, x in zip(cols, (int(p), owner[mine].tobytes(), doc[mine].tobytes(), at[mine].tobytes(), n[mine].astype("<u2").tobytes()), strict=True):
-                    col.append(x)
-            yield _rows(["part", "keys", "docs", "at", "n"], [pa.int32()] + [pa.binary()] * 4, cols)
+            owner, doc, at, n = (x[order] for x in (owner, doc, at, n.astype("<u2")))
+            held = np.unique(owner % parts)
+            cuts = np.append(np.searchsorted(owner % parts, held), len(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *[_cells(x, cuts) for x in (owner, doc, at, n)]], ["part", "keys", "docs", "at", "n"])
 
     return run
 
@@ -339,7 +361,7 @@ def _repeats(parts: int):
 def _covers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte ranges to remove from each text: disjoint, in order, as pairs."""
     for _, rows in _by_part(batches):
-        key, doc, at, n = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in enumerate(("<i8", "<i8", "<i8", "<u2")))
+        key, doc, at, n = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<i8", "<i8", "<i8", "<u2")))
         end = at + n + induced.DEPTH - 1
         order = np.lexsort((at, doc, key))
         key, doc, at, end = key[order], doc[order], at[order], end[order]

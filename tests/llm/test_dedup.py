@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import bytescan, components, induced, near_dedup, suffix_dedup
@@ -157,6 +158,28 @@ def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
     assert len(seen) == len(set(seen)) and set(seen) == whole == {(0, k) for k in range(1951)} | {(1, k) for k in range(451)}
 
 
+def test_blocks_of_a_shard_are_worked_on_together(monkeypatch):
+    """A shard's work does not grow with the number of blocks that its rows come from, and gives the same as one block."""
+    texts = [f"{k:04} before {'the passage that all of these texts have in common, word by word ' * 2}{k % 7} after {k:04}" for k in range(300)]
+    raw, offsets = bytescan.buffer(pa.array(texts))
+    anchor, text, _, _ = suffix_dedup._anchor_runs(raw, offsets, 4)
+    lists = [np.unique(anchor[text == k]).tobytes() for k in range(300)]
+    batch = pa.record_batch([pa.array(np.arange(300) * 16), pa.array(np.arange(300)), pa.array(texts), pa.array(lists)], ["key", "low", "text", "anchors"])
+    sums, calls = bytescan.prefix, []
+    got = []
+    for size in (1, 6 << 20):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", size)
+        held = list(suffix_dedup._segments(4, 1)(iter([batch])))
+        assert len(held) == (300 if size == 1 else 1)
+        monkeypatch.setattr(bytescan, "prefix", lambda x: calls.append(len(x)) or sums(x))
+        calls.clear()
+        rows = [r for out in suffix_dedup._repeats(4)(iter(held)) for r in out.to_pylist()]
+        assert len(calls) < 5
+        got.append(Counter(x for r in rows for x in zip(*(np.frombuffer(r[c], k).tolist() for c, k in (("keys", "<i8"), ("docs", "<i8"), ("at", "<i8"), ("n", "<u2"))), strict=True)))
+        monkeypatch.setattr(bytescan, "prefix", sums)
+    assert got[0] == got[1] and len({d for _, d, _, _ in got[0]}) == 299
+
+
 def test_cut_texts_keep_their_columns(odd):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns
