@@ -56,8 +56,13 @@ def steps(offsets: np.ndarray, size: int = STEP) -> Iterator[tuple[int, int]]:
     release()
 
 
+#: What a worker keeps for the next tasks of one operator, such as tokenizers and their caches.
+KEPT: dict = {}
+
+
 def release() -> None:
-    """Give freed memory back to the system; workers live on through many stages."""
+    """Give memory back to the system, also what other operators' tasks kept; workers live on through many stages."""
+    KEPT.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
     if trim is not None:

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from lodestone.llm import bytescan
+
 #: Space-separated pieces and pre-tokens that one worker keeps; about 200 bytes each.
 CACHE_PIECES = 250_000
 CACHE_WORDS = 400_000
@@ -21,7 +23,7 @@ CACHE_IDS = 600_000
 #: Characters of text that are looked up at once.
 STEP_CHARS = 2_000_000
 
-_LOADED: dict = {}
+_LOADED: dict = bytescan.KEPT
 
 #: Pieces of these characters are cut into pre-tokens here; all others by the library.
 PLAIN = re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-ÿ]*")

@@ -98,3 +98,13 @@ def test_sstable_lookup():
     assert reader.get(5) == [] and reader.get(10**12) == []
     with pytest.raises(ValueError):
         writer.add(sstable.key_bytes(-60), b"")
+
+
+def test_other_operators_tasks_give_back_what_tokenizers_kept():
+    from lodestone.llm import bytescan
+
+    path = tokens.default_path("word_bpe_49k.json")
+    before = tokens.encoder(path).batch(["some words"])
+    assert tokens._LOADED
+    bytescan.release()
+    assert not tokens._LOADED and tokens.encoder(path).batch(["some words"]) == before
