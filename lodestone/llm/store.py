@@ -50,9 +50,13 @@ def forget(df: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nobody holds any more; it looks for them when memory is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of plans that nobody holds any more; it looks for them when memory is collected.
+
+    One round is not enough: the JVM still holds what Python lets go in the same round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def drop(spark: SparkSession, uri: str) -> None:

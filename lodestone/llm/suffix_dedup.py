@@ -423,18 +423,26 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     table = f"lodestone_{uuid.uuid4().hex}"
     firsts.select("key", "low", "mark", "text").write.bucketBy(parts, "key").format("parquet").saveAsTable(table)
     try:
+        # each step starts without the shuffle files of the one before, so that disk holds one step's
+        store.sweep(spark)
         texts = spark.table(table)
         long = texts.filter(F.octet_length("text") >= induced.DEPTH)
         some = long.select("key", "text").mapInArrow(_anchors(parts), "part int, low binary, nums binary, keys binary")
         some = _dealt(some, parts).mapInArrow(_shared(parts), "part int, keys binary, anchors binary")
-        lists = _dealt(some, parts).mapInArrow(_per_text, "owner bigint, anchors binary")
+        lists = store.written(_dealt(some, parts).mapInArrow(_per_text, "owner bigint, anchors binary"), "anchors")
+        store.sweep(spark)
         found = long.join(lists, F.col("key") == F.col("owner")).select("key", "low", "text", "anchors")
         held = found.mapInArrow(_segments(parts, shards), "part int, bytes binary, counts binary, nums binary, at binary, anchors binary, keys binary, docs binary")
         hits = _dealt(held, shards).mapInArrow(_repeats(parts), "part int, keys binary, docs binary, at binary, n binary")
         spans = store.written(_dealt(hits, parts).mapInArrow(_covers, "owner bigint, own_doc bigint, spans binary"), "spans")
-        ranged = texts.join(spans, (F.col("key") == F.col("owner")) & (F.col("low") == F.col("own_doc")), "left")
+        store.forget(lists)
+        store.sweep(spark)
+        # the second condition is no equality, as the table's buckets would not serve a join by two columns and all texts would move
+        ranged = texts.join(spans, (F.col("key") == F.col("owner")) & F.col("low").between(F.col("own_doc"), F.col("own_doc")), "left")
         schema = RESULT + (", kept_text string" if with_text else "")
-        return store.written(ranged.select("mark", "low", "text", "spans").mapInArrow(_cut(with_text), schema), "repeats")
+        out = store.written(ranged.select("mark", "low", "text", "spans").mapInArrow(_cut(with_text), schema), "repeats")
+        store.forget(spans)
+        return out
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 

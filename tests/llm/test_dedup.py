@@ -1,12 +1,14 @@
 import hashlib
+import os
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import bytescan, components, induced, near_dedup, suffix_dedup
+from lodestone.llm import bytescan, components, induced, near_dedup, store, suffix_dedup
 
 
 def words(text):
@@ -180,6 +182,32 @@ def test_blocks_of_a_shard_are_worked_on_together(monkeypatch):
     assert got[0] == got[1] and len({d for _, d, _, _ in got[0]}) == 299
 
 
+def test_disk_holds_one_step_of_suffix_dedup(spark, small, monkeypatch):
+    """Shuffle files of a step are gone before the next one starts, texts stay in their buckets when cut, and tables of steps are deleted."""
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    write, seen = store.written, {}
+
+    def written(df, name):
+        until = time.time() + 10
+        while shuffles() and time.time() < until:  # Spark deletes in the background
+            time.sleep(0.1)
+        seen[name] = [shuffles(), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(")]
+        out = write(df, name)
+        seen[name].append(out.lodestone_path.removeprefix("file://"))
+        return out
+
+    monkeypatch.setattr(store, "written", written)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        suffix_dedup.repeats(small)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert {name: left for name, (left, _, _) in seen.items()} == {"anchors": 0, "spans": 0, "repeats": 0}
+    assert seen["repeats"][1] == 1  # the places to cut, not the texts
+    assert [name for name, (_, _, path) in seen.items() if os.path.exists(path)] == ["repeats"]
+
+
 def test_cut_texts_keep_their_columns(odd):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns
