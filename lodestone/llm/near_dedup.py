@@ -198,7 +198,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     holders = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("holder"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = store.written(_node_texts(texts.join(holders, texts["doc_id"].eqNullSafe(holders["holder"])).select("text")).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    first = store.written(_verified(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts), "verified")
+    pairs = store.written(rows.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), "pairs")
+    first = store.written(_verified(pairs, texts), "verified")
+    store.forget(pairs)
     links, labels = _rest(rows, first, texts)
     store.forget(rows)
     store.forget(texts)
@@ -286,33 +288,35 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
     labels = store.written(components(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b"))), "labels")
 
     def several(held: DataFrame, by: str) -> DataFrame:
-        """Rows of groups with more than one label, with the label of each row."""
+        """Rows of groups with more than one label: with each row's label, the group's ``n`` rows and ``main``, its most frequent label."""
         named = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = named.groupBy(by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(by)
-        return named.join(mixed, by)
+        named = named.withColumn("held", F.count("*").over(Window.partitionBy(by, "label")))
+        group = Window.partitionBy(by)
+        named = named.withColumn("n", F.count("*").over(group)).withColumn("main", F.max(F.struct("held", "label")).over(group)["label"])
+        return named.filter("held < n").drop("held")
 
     # a bucket of two has no pair but the one that its pivot made
     in_open = store.written(several(rows.filter("n > 2").select("bucket", "node"), "bucket").select("node").distinct(), "open-nodes")
     open_rows = store.written(_prefixes(texts.join(in_open, "node", "left_semi")), "prefixes")
+    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
     offered, last, compared = OFFERED, open_rows, [first]
     while True:
-        named = store.written(several(open_rows, "group"), "open")
+        named = store.written(several(open_rows, "group").withColumn("nth", F.row_number().over(by_hash)), "open")
         store.forget(last)
         last = named
         if named.isEmpty():
             break
-        per_label = named.groupBy("group", "label").agg(F.count("*").alias("held"))
-        main = per_label.groupBy("group").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.sum("held").alias("n"))
-        by_hash = Window.partitionBy("group").orderBy(F.xxhash64("node"), "node")
-        theirs = named.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= offered)
+        theirs = named.filter(F.col("nth") <= offered)
         theirs = theirs.select("group", *[F.col(c).alias("its_" + c) for c in ("node", "size", "place", "label")])
-        mine = named.join(main, "group").filter("label <> main")
+        mine = named.filter("label <> main")
         least = SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("its_size")) - 1e-6
         enough = F.least(F.col("size") - F.col("place"), F.col("its_size") - F.col("its_place")) >= least
         sized = F.least("size", "its_size") >= (SIMILARITY - 1e-9) * F.greatest("size", "its_size")
         pairs = mine.join(theirs, "group").filter((F.col("label") != F.col("its_label")) & sized & enough)
         pairs = pairs.select(F.greatest("node", "its_node").alias("pivot"), F.least("node", "its_node").alias("member")).distinct()
-        again = store.written(_verified(pairs.join(done, ["pivot", "member"], "left_anti"), texts), "verified")
+        pairs = store.written(pairs.join(done, ["pivot", "member"], "left_anti"), "pairs")
+        again = store.written(_verified(pairs, texts), "verified")
+        store.forget(pairs)
         compared.append(again)
         done = done.unionByName(again)
         of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
@@ -327,8 +331,9 @@ def _rest(rows: DataFrame, first: DataFrame, texts: DataFrame) -> tuple[DataFram
             store.forget(labels)
             labels = joined
         store.forget(merged)
-        open_rows = named.join(main.filter(F.col("n") > offered).select("group"), "group").select("node", "size", "group", "place")
+        open_rows = named.filter(F.col("n") > offered).select("node", "size", "group", "place")
         offered *= GROWTH
+        store.sweep(rows.sparkSession)  # else shuffle files and plans of all rounds stay
     links = store.written(done.filter(close).select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "verified-links")
     for table in (last, in_open, *compared):
         store.forget(table)

@@ -247,6 +247,33 @@ def test_families_of_many_versions_have_their_true_classes(spark, edits):
     assert sum(got[k] != c for k, c in enumerate(want)) == 0
 
 
+def test_rounds_of_near_dedup_are_small_plans(spark, monkeypatch):
+    """The driver holds plans, stages and shuffle places: no plan is large, and those of a round are gone before the next one starts."""
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    write, seen = store.written, []
+
+    def written(df, name):
+        until = time.time() + 10
+        while name == "open" and shuffles() > 8 and time.time() < until:  # Spark deletes in the background
+            time.sleep(0.1)
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString().count(" Exchange "), shuffles()))
+        return write(df, name)
+
+    monkeypatch.setattr(store, "written", written)
+    monkeypatch.setattr(components.store, "written", written)
+    texts, want = versions(300, (3, 4), 7)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert [got[k] for k in range(300)] == want
+    assert max(n for _, n, _ in seen) <= 8
+    left = [n for name, _, n in seen if name == "open"]
+    assert len(left) > 1 and max(left[1:]) <= 8
+
+
 def test_kept_texts_with_null_and_repeated_ids(odd, odd_rows):
     kept = Counter((r.doc_id, r.text or "") for r in near_dedup.one_of_each(odd).collect())
     gone = {(2, ""), (4, odd_rows[3][1]), (5, odd_rows[4][1]), (7, odd_rows[6][1]), (None, "")}
